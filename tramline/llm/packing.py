@@ -12,7 +12,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,16 +84,16 @@ def cut_documents(df: DataFrame, file: str, key: str = "doc_id", text: str = "te
     """One row per piece: start, length, ids_crc32, doc_tokens and, if wanted, the ids themselves. Null texts count as empty."""
     small_batches(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder_for(file), np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            keys, starts, lengths, sums, totals, arrays = [], [], [], [], [], []
-            for k, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
+            rows, starts, lengths, sums, totals, arrays = [], [], [], [], [], []
+            for row, t in enumerate(b.column(1).to_pylist()):
                 raw = memoryview((encode(t) if t else b"") + end)
                 n, at = len(raw) // 4, 0
                 for m in decompose(n, limit):
                     part = raw[4 * at : 4 * (at + m)]
-                    keys.append(k)
+                    rows.append(row)
                     starts.append(at)
                     lengths.append(m)
                     sums.append(zlib.crc32(part))
@@ -101,10 +101,11 @@ def cut_documents(df: DataFrame, file: str, key: str = "doc_id", text: str = "te
                     if ids:
                         arrays.append(np.frombuffer(part, "<u4").astype("int32"))
                     at += m
-            yield pd.DataFrame({"k": pd.Series(keys, dtype=b.iloc[:, 0].dtype if keys else None), "start": starts, "length": lengths, "crc": sums, "n": totals} | ({"ids": arrays} if ids else {}))
+            numbers = {k: pa.array(v, pa.int64()) for k, v in (("start", starts), ("length", lengths), ("ids_crc32", sums), ("doc_tokens", totals))}
+            yield pa.RecordBatch.from_pydict({key: b.column(0).take(pa.array(rows, pa.int64()))} | numbers | ({"ids": pa.array(arrays, pa.list_(pa.int32()))} if ids else {}))
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInPandas(run, f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * ids)
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * ids)
 
 
 def number_sequences(pieces: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches, table
@@ -202,35 +202,40 @@ def encode_documents(df: DataFrame, model_file: str, key: str = "doc_id", text:
     """
     small_batches(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = pieces_for(model_file)
         for b in batches:
-            rows = []
-            for k, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
-                ids, ends = sp.encode(t or "")
-                rows.append((k, ids, np.concatenate([[0], ends[:-1]]).astype("int64") if len(ends) else [], ends, sp.decode(ids)))
-            yield pd.DataFrame(rows, columns=["k", "ids", "begins", "ends", "decoded"])
+            got = [sp.encode(t or "") for t in b.column(1).to_pylist()]
+            columns = {
+                key: b.column(0),
+                "ids": pa.array([i for i, _ in got], pa.list_(pa.int32())),
+                "begins": pa.array([[0, *e[:-1]] if len(e) else [] for _, e in got], pa.list_(pa.int64())),
+                "ends": pa.array([e for _, e in got], pa.list_(pa.int64())),
+                "decoded": pa.array([sp.decode(i) for i, _ in got], pa.string()),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInPandas(run, f"{key} {kind}, ids array<int>, begins array<long>, ends array<long>, decoded string")
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>, begins array<long>, ends array<long>, decoded string")
 
 
 def encoding_digests(df: DataFrame, model_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Digests of what encode_documents() gives; spans_crc32 is that of the pieces' end bytes as little-endian 64-bit integers."""
     small_batches(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = pieces_for(model_file)
         for b in batches:
             rows = []
-            for k, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
+            for t in b.column(1).to_pylist():
                 ids, ends = sp.encode(t or "")
                 raw, decoded = np.array(ids, "<u4").tobytes(), sp.decode(ids)
-                rows.append((k, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest(), int(ends[-1]) if len(ends) else 0, zlib.crc32(np.ascontiguousarray(ends, "<i8"))))
-            yield pd.DataFrame(rows, columns=["k", "n", "a", "b", "c", "d"])
+                rows.append((len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest(), int(ends[-1]) if len(ends) else 0, zlib.crc32(np.ascontiguousarray(ends, "<i8"))))
+            n, a, d, c, s = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_pydict({key: b.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(d, pa.string()), "covered_bytes": pa.array(c, pa.int64()), "spans_crc32": pa.array(s, pa.int64())})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInPandas(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long, spans_crc32 long")
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long, spans_crc32 long")
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
