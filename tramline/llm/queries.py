@@ -1,8 +1,9 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
+from .fingerprints import op4_fingerprints
 from .packing import op10_packing
 from .pieces import op9_pieces
 from .sharding import op5_sharding
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op9_pieces, op10_packing)}
+QUERIES = {f.__name__: f for f in (op4_fingerprints, op5_sharding, op9_pieces, op10_packing)}
 ORACLES: dict[str, str] = {}
