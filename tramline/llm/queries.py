@@ -4,6 +4,7 @@ from .fingerprints import op4_fingerprints
 from .packing import op10_packing
 from .pieces import op9_pieces
 from .sharding import op5_sharding
+from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_fingerprints, op5_sharding, op9_pieces, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_fingerprints, op5_sharding, op9_pieces, op10_packing)}
 ORACLES: dict[str, str] = {}
