@@ -5,6 +5,7 @@ from .packing import op10_packing
 from .pieces import op9_pieces
 from .sharding import op5_sharding
 from .toxicity import op2_toxicity
+from .vectors import op7_vectors
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_fingerprints, op5_sharding, op9_pieces, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_fingerprints, op5_sharding, op7_vectors, op9_pieces, op10_packing)}
 ORACLES: dict[str, str] = {}
