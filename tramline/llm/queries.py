@@ -1,6 +1,7 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
 from .fingerprints import op4_fingerprints
+from .lines import op3_lines
 from .nearcopies import op8_nearcopies
 from .packing import op10_packing
 from .pieces import op9_pieces
@@ -8,5 +9,5 @@ from .sharding import op5_sharding
 from .toxicity import op2_toxicity
 from .vectors import op7_vectors
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_fingerprints, op5_sharding, op7_vectors, op8_nearcopies, op9_pieces, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_lines, op4_fingerprints, op5_sharding, op7_vectors, op8_nearcopies, op9_pieces, op10_packing)}
 ORACLES: dict[str, str] = {}
