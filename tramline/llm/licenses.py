@@ -78,7 +78,8 @@ def window_minima(h: Column, band: int, step: int) -> Column:
     """Minimum hash of each window of WINDOW shingles, one window starting at every step-th shingle."""
     hashed = F.transform(h, lambda x: band_hash(x, band))
     starts = F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)), F.lit(step))
-    return F.transform(starts, lambda i: F.array_min(F.slice(hashed, i + 1, WINDOW)))
+    # the hashes are bound to a name once; written inside of the function they would be taken anew for every window
+    return F.get(F.transform(F.array(hashed), lambda x: F.transform(starts, lambda i: F.array_min(F.slice(x, i + 1, WINDOW)))), F.lit(0))
 
 
 def _literal(values: list[int]) -> Column:
