@@ -122,12 +122,15 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] = TEMPLATES, key: str
                 hit = F.arrays_overlap(F.get("m", F.lit(b)), _literal(by_name[n]))
                 one = hit if one is None else one | hit
             names.append(F.when(F.col("long_hit") & one, F.lit(n)))
-    found = base.select(key, "w", F.filter(F.array(*names), lambda x: x.isNotNull()).alias("names")).where(F.size("names") > 0)
+    # a filter does not move below a column that is not deterministic; there, it would repeat every expression under its arrays
+    found = base.select(key, "w", F.filter(F.array(*names), lambda x: x.isNotNull()).alias("names"), F.monotonically_increasing_id().alias("row"))
+    found = found.where((F.size("names") > 0) & (F.col("row") >= 0))
     at = F.sequence(F.lit(0), F.size("w") - WORDS)
     texts = found.select(key, F.transform(at, lambda i: F.array_join(F.slice("w", i + 1, WORDS), " ")).alias("s"), F.explode("names").alias("license"))
     lists = F.create_map(*[x for n, s in shingle_lists.items() for x in (F.lit(n), F.split(F.lit("|".join(s)), r"\|"))])
     held = texts.withColumn("own", F.element_at(lists, F.col("license"))).withColumn("both", F.array_intersect("own", "s"))
-    scored = held.withColumn("containment", F.size("both") / F.size("own")).where(F.col("containment") >= least)
+    scored = held.withColumn("containment", F.size("both") / F.size("own")).withColumn("row", F.monotonically_increasing_id())
+    scored = scored.where((F.col("containment") >= least) & (F.col("row") >= 0))
     return scored.select(key, "license", F.round("containment", 6).alias("containment"), (F.array_min(F.transform("both", lambda x: F.array_position("s", x))) - 1).alias("first_word"))
 
 
