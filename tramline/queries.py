@@ -1,4 +1,31 @@
 """Registered queries over trajectories, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .operators import attribution, conflicts, events  # noqa: F401  (they add their plans)
+from .plans import fixture  # noqa: F401
+from .plans.templates import PLANS
+from .sources import tracks  # noqa: F401
+
+#: Plans that only other plans use.
+INNER = ("frames", "tracks", "neighbor_pairs", "kinematics_rows", "ttc_rows", "safe_frames", "events", "event_members", "event_rows", "tensor_rows", "psi", "coalitions", "scores")
+
+
+_memos: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        memo = _memos.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+        return PLANS.apply(spark, name, memo, customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+
+    run.__name__ = name
+    return run
+
+
+QUERIES = {n: _query(n) for n in PLANS.plans if n not in INNER}
+ORACLES = {n: PLANS.as_sql(n) for n in QUERIES}
