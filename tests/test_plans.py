@@ -27,7 +27,7 @@ def test_and_game(spark):
 
 @pytest.mark.parametrize(("ego", "target", "conflicts"), [((0, 15), (20, 10), True), ((0, 5), (20, 15), False), ((0, 10.5), (100, 10), False)])
 def test_closing_vehicles(spark, ego, target, conflicts):
-    data = [("s", f, car, 0.0, float(y + v * f / 10), 90.0, float(v)) for car, (y, v) in ((1, ego), (2, target)) for f in range(20)]
+    data = [("s", f, car, 0.0, float(y + v * f / 10), 90.0, float(v)) for car, (y, v) in ((1, ego), (2, target)) for f in range(35)]
     tracks = spark.createDataFrame(data, "scene_id string, frameNum long, carId long, carCenterXm double, carCenterYm double, heading double, speed double")
     found = PLANS.apply(spark, "conflict_frames", tracks=tracks)
     assert (found.count() > 0) == conflicts
