@@ -41,8 +41,10 @@ HASHES = BANDS * ROWS
 DRAWS = 1 << 16
 #: Shingles that are sampled at a time.
 CHUNK = 40_000
+#: Shingles of texts that verification holds at a time, besides the newest text's.
+HELD = 500_000
 #: Entries of each worker's caches; they are emptied when full.
-CACHE = 400_000
+CACHE = 150_000
 
 _words = re.compile(r"[^\W_]+").findall
 _U = np.uint64
@@ -206,12 +208,16 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        size = 0
 
         def of(node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+            nonlocal size
             if node not in held:
-                if len(held) >= 256:
+                if size > HELD:
                     held.clear()
+                    size = 0
                 held[node] = weighted(text, shared.value)
+                size += len(held[node][0]) + 100
             return held[node]
 
         for batch in batches:

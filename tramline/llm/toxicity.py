@@ -29,7 +29,7 @@ FACTORS = 4
 #: A term of fewer training texts than this has no weight of its own.
 LEAST_TEXTS = 3
 #: Entries of each worker's cache of terms; it is emptied when full.
-CACHE = 500_000
+CACHE = 150_000
 
 #: Terms that training goes on with: those that part the classes most, taken one by one.
 SCREENED = 3000
