@@ -1,7 +1,7 @@
 import random
 from itertools import combinations
 
-from tramline.llm.lines import LEAST, duplicate_lines, remove_duplicate_lines
+from tramline.llm.lines import LEAST, duplicate_lines, line_classes, op3_lines, remove_duplicate_lines
 
 
 def edits(a, b):
@@ -60,3 +60,13 @@ def test_removal_and_edges(spark):
     assert (1, docs[0][1]) in out and (2, "short") in out and (0, line) in out and (3, None) in out and (4, "") in out and out.count((5, docs[5][1])) == 2
     assert remove_duplicate_lines(spark.createDataFrame([], df.schema)).count() == 0
     assert duplicate_lines(spark.createDataFrame([], df.schema)).count() == 0
+
+
+def test_short_lines_are_exact_nodes(spark, tmp_path):
+    docs = [(1, "Les.\n\nAll rights reserved."), (2, " Les. \nLes\n"), (3, "All rights reserved.\nAll rights reserved!")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = [(1, 0, 0, 1, 0, True), (1, 2, 0, 1, 2, True), (2, 0, 0, 1, 0, False), (2, 1, 0, 2, 1, True), (3, 0, 0, 1, 2, False), (3, 1, 0, 3, 1, True)]
+    assert sorted(tuple(r) for r in line_classes(df).drop("n").collect()) == want
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in op3_lines(spark, str(tmp_path)).collect()) == want
+    assert dict(remove_duplicate_lines(df).select("doc_id", "text").collect()) == {1: docs[0][1], 2: "Les\n", 3: "All rights reserved!"}

@@ -8,7 +8,8 @@ are verified by a bit-parallel edit automaton in a band: one 64-bit word holds,
 diagonals can be reached, and takes one step for each character.
 
 Equal lines are one node, whatever their number; classes are connected components of the links, and the first line of a class by
-(document, place) is kept. Shorter lines are classes by themselves, always kept, as are blank lines and lines of documents without an id.
+(document, place) is kept. Shorter lines are nodes like the others, alike only if they are equal. Blank lines and lines of documents
+without an id are in no class and always kept.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ LEAST = 24
 
 
 def split_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, line_no from 0, line, h, n): the lines of LEAST characters and more; h is a hash of the line."""
+    """(doc, line_no from 0, line, h, n): the lines that are not blank; h is a hash of the line."""
     lines = df.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
     trimmed = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
-    return trimmed.withColumn("n", F.length("line")).where(F.col("n") >= LEAST).withColumn("h", F.shiftrightunsigned(F.xxhash64("line"), 2))
+    return trimmed.withColumn("n", F.length("line")).where("n > 0").withColumn("h", F.shiftrightunsigned(F.xxhash64("line"), 2))
 
 
 def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -80,10 +81,11 @@ def near_expression(a: str, b: str, tau: int) -> str:
 
 
 def line_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of hashes of different lines that are near; lines as from split_lines().
+    """Pairs (a, b) of hashes of different lines of LEAST characters and more that are near; lines as from split_lines().
 
     Keys move once. Those that no other line has go at once, by their smallest and largest line; copies of a line need no care there.
     """
+    lines = lines.where(F.col("n") >= LEAST)
     index, probe = keys(F.col("line"), F.col("n"), tau)
     marked = F.concat(F.transform(index, lambda k: F.struct(k.alias("k"), F.lit(0).alias("probe"))), F.transform(probe, lambda k: F.struct(k.alias("k"), F.lit(1).alias("probe"))))
     rows = lines.select("h", F.explode(marked).alias("e")).select("e.k", (F.col("h") * 2 + F.col("e.probe")).alias("v")).repartition("k")
@@ -97,8 +99,8 @@ def line_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     return full.where(F.expr(near_expression("la", "lb", tau))).select("a", "b")
 
 
-def duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int = THRESHOLD) -> DataFrame:
-    """(doc, line_no, n_links, class_doc, class_line, kept) of every line of LEAST characters and more.
+def line_classes(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int = THRESHOLD) -> DataFrame:
+    """(doc, line_no, n, n_links, class_doc, class_line, kept) of every line that is not blank; n is its length.
 
     n_links: other different lines that are near. A class is named by its first line's document and place; only that line is kept. Rows
     of a repeated document have the same lines and the same results.
@@ -108,16 +110,21 @@ def duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text", tau:
     joined = components(links).select(F.col("node").alias("h"), F.col("component").alias("class"))
     degree = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
     nodes = degree.join(joined, "h")
-    placed = lines.select("doc", "line_no", "h").join(nodes, "h", "left").withColumn("class", F.coalesce("class", "h"))
-    placed = materialize(placed.select("doc", "line_no", F.coalesce("n_links", F.lit(0)).alias("n_links"), "class"), "placed")
+    placed = lines.select("doc", "line_no", "n", "h").join(nodes, "h", "left").withColumn("class", F.coalesce("class", "h"))
+    placed = materialize(placed.select("doc", "line_no", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), "class"), "placed")
     first = placed.groupBy("class").agg(F.min(F.struct("doc", "line_no")).alias("first"))
-    out = placed.join(first, "class").select("doc", "line_no", "n_links", F.col("first.doc").alias("class_doc"), F.col("first.line_no").alias("class_line"))
+    out = placed.join(first, "class").select("doc", "line_no", "n", "n_links", F.col("first.doc").alias("class_doc"), F.col("first.line_no").alias("class_line"))
     return out.withColumn("kept", (F.col("doc") == F.col("class_doc")) & (F.col("line_no") == F.col("class_line")))
 
 
+def duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int = THRESHOLD) -> DataFrame:
+    """The rows of line_classes() whose lines the edit join compares, those of LEAST characters and more."""
+    return line_classes(df, key, text, tau).where(F.col("n") >= LEAST).drop("n")
+
+
 def remove_duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars", tau: int = THRESHOLD) -> DataFrame:
     """df without the lines that are not kept; the length column, if there is one, follows the text. All rows stay."""
-    gone = duplicate_lines(df, key, text, tau).where(~F.col("kept")).groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
+    gone = line_classes(df, key, text, tau).where(~F.col("kept")).groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
     joined = df.join(gone, df[key] == gone["doc"], "left")
     left = F.array_join(F.filter(F.split(df[text], "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
     new = F.when(F.col("gone").isNull(), df[text]).otherwise(left)
@@ -125,5 +132,5 @@ def remove_duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = duplicate_lines(table(spark, sf_dir, "documents"))
+    found = line_classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("doc").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), "n_links", F.col("class_doc").alias("class_doc_id"), F.col("class_line").cast("long").alias("class_line_no"), "kept")
