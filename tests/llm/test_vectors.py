@@ -1,6 +1,17 @@
 import numpy as np
+import pytest
 
-from tramline.llm.vectors import link_vectors, op7_vectors
+from tramline.llm.vectors import CODES, code_size, decode, link_vectors, op7_vectors
+
+
+def planted(rng, n, dims, cosines):
+    """n random unit vectors, and partners of the first ones at these cosines."""
+    unit = rng.normal(size=(n, dims))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    base, c = unit[: len(cosines)], np.array(cosines)[:, None]
+    side = rng.normal(size=base.shape)
+    side -= (side * base).sum(1, keepdims=True) * base
+    return unit, c * base + np.sqrt(1 - c**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
 
 
 def brute(ids, vectors, threshold=0.9):
@@ -37,3 +48,15 @@ def test_edges(spark):
     assert sorted(g for g in got if g[0] in (1, 2, 3)) == [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (3, 3, 1, False)]
     assert all(g[1] == 0 and g[2] == g[0] for g in got if g[0] not in (1, 2, 3))
     assert link_vectors(spark.createDataFrame([], kind)).count() == 0
+
+
+@pytest.mark.parametrize("dims", [32, 64])
+@pytest.mark.parametrize("n", [10_000, 100_000, 1_000_000, 3_000_000])
+def test_recall_as_vectors_grow_in_number(n, dims):
+    """Pairs share a direction of the code for n vectors, and a direction holds as many vectors as meant."""
+    size = code_size(n, dims, 0.9)
+    for cosine in (0.9, 0.95):
+        a, b = (decode(x, *size) for x in planted(np.random.default_rng(n + dims), 500, dims, [cosine] * 500))
+        assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(a, b)]) >= 0.99
+    directions = CODES * size[2] ** size[1]
+    assert 0.7 < np.mean([len(x) for x in a]) / directions / (32 / n) < 1.4
