@@ -70,3 +70,22 @@ def test_short_lines_are_exact_nodes(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(tuple(r) for r in op3_lines(spark, str(tmp_path)).collect()) == want
     assert dict(remove_duplicate_lines(df).select("doc_id", "text").collect()) == {1: docs[0][1], 2: "Les\n", 3: "All rights reserved!"}
+
+
+def test_longer_lines_have_more_room(spark):
+    """Links of lines by words, against brute force; in lines of long words one replaced word is more than two edits."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    docs = []
+    for n in (12, 19, 20, 21, 39, 40, 41, 59, 60, 61, 62, 90):
+        base = [word() for _ in range(n)]
+        for k in range(6):
+            new = list(base)
+            for _ in range(k):
+                i = rng.randrange(len(new))
+                new[i : i + rng.randrange(2)] = [word()] * rng.randrange(2)
+            docs.append((len(docs), " ".join(new)))
+    pairs = {(min(x, y), max(x, y)) for x, y in combinations({t for _, t in docs}, 2) if min(3, min(len(x.split(" ")), len(y.split(" "))) // 20) >= edits(x.split(" "), y.split(" ")) or (abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2)}
+    want = {d: sum(t in p for p in pairs) for d, t in docs}
+    assert sum(want.values()) > 40
+    assert {r["doc"]: r["n_links"] for r in line_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want

@@ -7,6 +7,10 @@ length up to THRESHOLD shorter than its own, the substrings of its own at the pl
 are verified by a bit-parallel edit automaton in a band: one 64-bit word holds, for each number of edits, which of the 2 * THRESHOLD + 1
 diagonals can be reached, and takes one step for each character.
 
+Longer lines have more room: lines of WORDS_AN_EDIT words and more are near also if at most one word in WORDS_AN_EDIT of the shorter one,
+MOST_WORDS at most, has to be replaced, put in or left out. The same segments, places and automaton serve for this, over words in place of
+characters; lines of each number of edits have keys of their own. Words are what spaces part.
+
 Equal lines are one node, whatever their number; classes are connected components of the links, and the first line of a class by
 (document, place) is kept. Shorter lines are nodes like the others, alike only if they are equal. Blank lines and lines of documents
 without an id are in no class and always kept.
@@ -21,6 +25,8 @@ from .common import components, materialize, table
 
 THRESHOLD = 2
 LEAST = 24
+WORDS_AN_EDIT = 20
+MOST_WORDS = 3
 
 
 def split_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -42,22 +48,45 @@ def places(i: int, less: int, tau: int) -> range:
     return range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1)
 
 
-def keys(line: Column, n: Column, tau: int) -> tuple[Column, Column]:
-    """Arrays of the hashed index keys and probe keys of a line."""
+def keys(line: Column, n: Column, tau: int, words: bool = False) -> tuple[Column, Column]:
+    """Arrays of the hashed index keys and probe keys of a line, which is an array if words are compared."""
     index, probe = [], []
+
+    def key(n: Column, i: int, start: Column, size: Column) -> Column:
+        return F.xxhash64(F.lit(-tau), n, F.lit(i), F.slice(line, start, size)) if words else F.xxhash64(n, F.lit(i), line.substr(start, size))
+
     for i in range(tau + 1):
         start, size = segment(n, i, tau + 1)
-        index.append(F.xxhash64(n, F.lit(i), line.substr(start + 1, size)))
+        index.append(key(n, i, start + 1, size))
         for less in range(tau + 1):
             start, size = segment(n - less, i, tau + 1)
             for move in places(i, less, tau):
                 if less or move:  # the line's own index keys meet those of lines as long
-                    probe.append(F.xxhash64(n - less, F.lit(i), line.substr(start + 1 + move, size)))
+                    probe.append(key(n - less, i, start + 1 + move, size))
     return F.array(*index), F.array(*probe)
 
 
-def near_expression(a: str, b: str, tau: int) -> str:
-    """SQL: whether two strings are within tau edits. Registers of 2 * tau + 1 bits, one for each number of edits, share a word.
+def word_keys(words: Column) -> tuple[Column, Column]:
+    """As keys(), over the words of a line; it is in the classes of all numbers of edits that it can share with a line as short or shorter."""
+    n = F.size(words)
+    index, probe = [], []
+    for tau in range(1, MOST_WORDS + 1):
+        within = n >= WORDS_AN_EDIT * tau
+        if tau < MOST_WORDS:
+            within &= n < WORDS_AN_EDIT * (tau + 1) + tau
+        for out, found in zip((index, probe), keys(words, n, tau, True), strict=True):
+            out.append(F.when(within, found).otherwise(F.array().cast("array<bigint>")))
+    return F.concat(*index), F.concat(*probe)
+
+
+def near_words(a: str, b: str) -> str:
+    """SQL: whether few enough words part two lines."""
+    least = f"least(size(split({a}, ' +')), size(split({b}, ' +')))"
+    return " or ".join(f"(least({MOST_WORDS}, {least} div {WORDS_AN_EDIT}) = {tau} and {near_expression(a, b, tau, ' +')})" for tau in range(1, MOST_WORDS + 1))
+
+
+def near_expression(a: str, b: str, tau: int, cut: str = "") -> str:
+    """SQL: whether two strings are within tau edits of the parts that cut, a pattern, makes of them: characters if it is empty. Registers of 2 * tau + 1 bits, one for each number of edits, share a word.
 
     Bit d of a register stands for place j + d - tau in b after j characters of a. A step keeps the diagonals on which the next
     characters match, and from the register of one edit less takes the same diagonal (substitution), the one below (a character of a
@@ -65,6 +94,7 @@ def near_expression(a: str, b: str, tau: int) -> str:
     """
     if tau > 4:
         raise ValueError("registers for more than 4 edits do not fit into a 64-bit word")
+    size = [f"size(split({x}, '{cut}'))" if cut else f"length({x})" for x in (a, b)]
     width = 2 * tau + 1
     gap = width + 1  # a spare bit keeps registers apart
     full = (1 << width) - 1
@@ -75,9 +105,9 @@ def near_expression(a: str, b: str, tau: int) -> str:
     for e in range(1, tau + 1):
         step = f"transform(array({step}), x -> x | (shiftleft(x & {full << gap * (e - 1)}L, {gap + 1}) & {full << gap * e}L))[0]"
     first = sum((((1 << (e + 1)) - 1) << tau & full) << gap * e for e in range(tau + 1))
-    ends = " | ".join(f"shiftleft(1L, {gap * e} + length({b}) - length({a}) + {tau})" for e in range(tau + 1))
-    chars = f"transform(array(struct(split({a}, '') as a, split({b}, '') as b)), c -> aggregate(sequence(1, size(c.a)), {first}L, (r, j) -> transform(array({match}), m -> {step})[0]))[0]"
-    return f"abs(length({a}) - length({b})) <= {tau} and ({chars} & ({ends})) <> 0"
+    ends = " | ".join(f"shiftleft(1L, {gap * e} + {size[1]} - {size[0]} + {tau})" for e in range(tau + 1))
+    chars = f"transform(array(struct(split({a}, '{cut}') as a, split({b}, '{cut}') as b)), c -> aggregate(sequence(1, size(c.a)), {first}L, (r, j) -> transform(array({match}), m -> {step})[0]))[0]"
+    return f"abs({size[0]} - {size[1]}) <= {tau} and ({chars} & ({ends})) <> 0"
 
 
 def line_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
@@ -86,9 +116,12 @@ def line_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     Keys move once. Those that no other line has go at once, by their smallest and largest line; copies of a line need no care there.
     """
     lines = lines.where(F.col("n") >= LEAST)
-    index, probe = keys(F.col("line"), F.col("n"), tau)
-    marked = F.concat(F.transform(index, lambda k: F.struct(k.alias("k"), F.lit(0).alias("probe"))), F.transform(probe, lambda k: F.struct(k.alias("k"), F.lit(1).alias("probe"))))
-    rows = lines.select("h", F.explode(marked).alias("e")).select("e.k", (F.col("h") * 2 + F.col("e.probe")).alias("v")).repartition("k")
+    def marked(index: Column, probe: Column) -> Column:
+        return F.concat(F.transform(index, lambda k: F.struct(k.alias("k"), F.lit(0).alias("probe"))), F.transform(probe, lambda k: F.struct(k.alias("k"), F.lit(1).alias("probe"))))
+
+    # as the variable of a function, words are split once for each line and not for each key
+    by_words = F.transform(F.array(F.split("line", " +")), lambda words: marked(*word_keys(words)))[0]
+    rows = lines.select("h", F.explode(F.concat(marked(*keys(F.col("line"), F.col("n"), tau)), by_words)).alias("e")).select("e.k", (F.col("h") * 2 + F.col("e.probe")).alias("v")).repartition("k")
     met = rows.groupBy("k").agg(F.min("v").alias("x"), F.max("v").alias("y"), F.min(F.col("v") % 2).alias("p")).where("p = 0 and shiftright(x, 1) <> shiftright(y, 1)").select("k")
     both = materialize(rows.join(met.hint("shuffle_hash"), "k").select("k", F.shiftright("v", 1).alias("h"), (F.col("v") % 2).alias("probe")).distinct(), "keys")
     left, right = both.where("probe = 0").select("k", F.col("h").alias("a")), both.select("k", F.col("h").alias("b"), "probe")
@@ -96,7 +129,7 @@ def line_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
     texts = materialize(lines.select("h", "line").join(wanted, "h").dropDuplicates(["h"]), "texts")
     full = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
-    return full.where(F.expr(near_expression("la", "lb", tau))).select("a", "b")
+    return full.where(F.expr(f"({near_expression('la', 'lb', tau)}) or {near_words('la', 'lb')}")).select("a", "b")
 
 
 def line_classes(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int = THRESHOLD) -> DataFrame:
