@@ -63,7 +63,7 @@ def words(text: Column) -> Column:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the smallest node reachable.
 
-    Alternates the large-star and small-star steps until the edges stop changing. Each step needs one aggregation with map-side
+    Alternates the large-star and small-star steps until the edges stop changing, and fails if max_rounds do not suffice. Each step needs one aggregation with map-side
     combine and one equi-join on the node, so a node with very many neighbours is an ordinary skewed join key.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -84,5 +84,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"edges still change after {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
