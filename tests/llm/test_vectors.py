@@ -60,3 +60,15 @@ def test_recall_as_vectors_grow_in_number(n, dims):
         assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(a, b)]) >= 0.99
     directions = CODES * size[2] ** size[1]
     assert 0.7 < np.mean([len(x) for x in a]) / directions / (32 / n) < 1.4
+
+
+def test_planted_links(spark):
+    cosines = [0.901, 0.91, 0.92, 0.93, 0.94, 0.95, 0.97, 0.99] * 25
+    unit, partners = planted(np.random.default_rng(8), 5000, 64, cosines)
+    both = np.concatenate([unit, partners])
+    ids = list(range(len(both)))
+    links, _ = brute(ids, both)
+    assert links.sum() >= 2 * len(cosines)
+    got = link_vectors(spark.createDataFrame(list(zip(ids, both.tolist(), strict=True)), "vec_id long, embedding array<double>")).collect()
+    assert sum(r["n_links"] for r in got) >= 0.99 * links.sum()
+    assert all(r["n_links"] <= links[r["vec_id"]] for r in got)
