@@ -30,3 +30,19 @@ def test_edges(spark):
     check(encoding_digests(df, FILE).collect(), EDGES)
     assert encoding_digests(spark.createDataFrame([], df.schema), FILE).count() == 0
     assert encode_documents(df, FILE).count() == len(EDGES)
+
+
+def test_compiled_map(tmp_path):
+    """A model with a character map, squeezed spaces and byte fallback, against the library."""
+    words = "the café naïve office fine half whole street water light stone river".split()
+    lines = [" ".join(words[(i * k + k) % len(words)] for k in range(1, 9)) for i in range(200)]
+    prefix = f"{tmp_path}/small"
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_prefix=prefix, vocab_size=340, model_type="bpe", byte_fallback=True, normalization_rule_name="nmt_nfkc", hard_vocab_limit=False, minloglevel=2)
+    made, library = pieces_for(f"{prefix}.model"), sentencepiece.SentencePieceProcessor(model_file=f"{prefix}.model")
+    assert made.normalizer.map.units and not made.plain
+    for text in ["the café", "  a   b  ", "naïve ﬁne oﬃce ½ ①", "漢字　🙂 ｶﾞ x", "é Å \t\n the", "", "Ｆｕｌｌ ㍿ ™"]:
+        ids, ends = made.encode(text)
+        inner = library.encode(text)
+        assert ids == [library.bos_id(), *inner, library.eos_id()], text
+        assert made.normalizer(text)[0] == library.normalize(text).replace(" ", "▁"), text
+        assert len(ends) == len(inner) and (not inner or ends[-1] == len(text.encode())), text
