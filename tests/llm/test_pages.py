@@ -18,3 +18,15 @@ def test_empty_table(spark):
 
 def test_broken_markup():
     assert Page('<p>a<script>var t="</p>";</script>b</div><nav>x').main_text([], set()) == "a b"
+
+
+def test_constant_blocks_by_place(spark):
+    """A heading of all articles stays on large hosts as on small ones; a line beside the slot goes where a page lacks the slot."""
+    page = "<html><body><div class='top'>Line of the site</div>{}</body></html>"
+    for n in (4, 12):
+        rows = [(i, "http://a.example/x", page.format(f"<article><div class='t'><h2>Standing head</h2><p>Own text {i} of some length</p></div></article>")) for i in range(n)]
+        rows.append((n, "http://a.example/x", page.format("<section>Elsewhere</section>")))
+        out = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows[:n], "page_id long, url string, html string")).collect()}
+        assert out == {i: f"Standing head Own text {i} of some length" for i in range(n)}
+        out = {r["page_id"]: r["text"] for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert out[n] == "Elsewhere"

@@ -8,7 +8,8 @@ their paths. Pages with equal tokens count once, so copies of an article do not
 
 The template leaves slots: the elements of valid classes with what is in them. The main slot is the innermost one that holds more than
 half of the host's slot text outside of menus, adverts and the like; the slots that hold more than half are a chain, so it is
-unique. Blocks of text that every page of a host of CONSTANT_PAGES and more has are part of the template and go; the rest is extracted.
+unique. Blocks of text that every page of a host has at the same path outside of the host's main slot are part of the template and go,
+whatever the number of pages; blocks inside of it stay. They matter on pages that lack the slot. The rest is extracted.
 Hosts without a valid class use the template deduced from all pages together.
 """
 
@@ -28,7 +29,6 @@ from .common import materialize, small_batches, table
 
 CLASS_SIZE = 3
 LEAST_PAGES = 3
-CONSTANT_PAGES = 8
 #: Tokens in all templates together, up to which they are broadcast (32 bytes each); beyond, pages move to them in SALTS parts a host.
 BROADCAST_TOKENS = 500_000
 SALTS = 32
@@ -157,12 +157,23 @@ class Page:
                 while up >= 0:
                     chars[self.roles[up]] += len(text)
                     up = self.parents[up]
-            token = _hash("text " + text)
+            token = self.placed(at, text)
             count[token] += 1
             depth[token] = -2
         keys = list(count)
         return keys, [count[k] for k in keys], [depth[k] for k in keys], [chars[k] for k in keys]
 
+    def placed(self, at: int, text: str) -> int:
+        """A block's token: its text and the path of the element that it stands in."""
+        return _hash(f"text {self.roles[at] if at >= 0 else ''} {text}")
+
+    def inside(self, at: int, role: int | None) -> bool:
+        while at >= 0:
+            if self.roles[at] == role:
+                return True
+            at = self.parents[at]
+        return False
+
     def main_text(self, slots: list[int], constants: set[int]) -> str:
         """Text of the main slot; slots: roles from the innermost outwards, of which the first that the page has once counts."""
         found = Counter(self.roles)
@@ -170,7 +181,7 @@ class Page:
         root = self.roles.index(slot) if slot is not None else -1
         out = []
         for at, text in self.blocks:
-            if (at >= 0 and self.aside[at]) or (constants and _hash("text " + text) in constants):
+            if (at >= 0 and self.aside[at]) or (constants and self.placed(at, text) in constants and not self.inside(at, slots[0] if slots else None)):
                 continue
             up = at
             while up not in (root, -1):
@@ -219,7 +230,7 @@ def deduce_templates(df: DataFrame, url: str = "url", source: str = "html") -> D
     tags = vectors.where("depth > -1").join(classes, ["host", "vector"])
     total = tags.groupBy("host").agg(F.max("chars").alias("total"))
     slots = tags.join(total, "host").where("2 * chars > total").groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "t"))).alias("s"))
-    constants = vectors.where(f"depth = -2 and held = pages and pages >= {CONSTANT_PAGES}").groupBy("host").agg(F.collect_list("t").alias("constants"))
+    constants = vectors.where("depth = -2 and held = pages").groupBy("host").agg(F.collect_list("t").alias("constants"))
     return slots.join(constants, "host", "left").select("host", F.transform("s", lambda x: x["t"]).alias("slots"), F.coalesce("constants", F.array().cast("array<long>")).alias("constants"))
 
 
