@@ -1,7 +1,11 @@
 import random
 from itertools import combinations
 
-from tramline.llm.lines import LEAST, duplicate_lines, line_classes, op3_lines, remove_duplicate_lines
+from tramline.llm.lines import BLOCK, LEAST, line_classes, op3_lines, remove_duplicate_lines
+
+
+def classes(df):
+    return sorted(tuple(r) for r in line_classes(df).drop("body").collect())
 
 
 def edits(a, b):
@@ -14,7 +18,7 @@ def edits(a, b):
 
 
 def brute(docs, tau=2):
-    lines = [(d, i, s.strip()) for d, t in docs for i, s in enumerate((t or "").split("\n")) if len(s.strip()) >= LEAST]
+    lines = [(d, i, s.strip()) for d, t in docs for i, s in enumerate((t or "").split("\n")) if s.strip()]
     texts = sorted({s for *_, s in lines})
     root, links = {s: s for s in texts}, dict.fromkeys(texts, 0)
 
@@ -24,7 +28,7 @@ def brute(docs, tau=2):
         return s
 
     for a, b in combinations(texts, 2):
-        if abs(len(a) - len(b)) <= tau and edits(a, b) <= tau:
+        if min(len(a), len(b)) >= LEAST and abs(len(a) - len(b)) <= tau and edits(a, b) <= tau:
             links[a] += 1
             links[b] += 1
             root[top(a)] = top(b)
@@ -47,8 +51,16 @@ def test_against_brute_force(spark):
     base = ["".join(rng.choice("abcd ef") for _ in range(rng.randrange(26, 50))) for _ in range(25)]
     for d in range(60):
         docs.append((d, "\n".join(mutated(rng, rng.choice(base), rng.randrange(5)) for _ in range(4)) + "\nshort\n\n"))
-    got = sorted(tuple(r) for r in duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect())
-    assert got == brute(docs)
+    assert classes(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
+
+
+def test_bucket_of_several_blocks(spark):
+    """Lines that share segments and are two edits apart at most from a common one, more than BLOCK of them."""
+    rng = random.Random(4)
+    base = "a line that very many documents have with one or two edits in it"
+    docs = [(d, mutated(rng, base, rng.randrange(3))) for d in range(3 * BLOCK)]
+    got = classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got == brute(docs) and len({r[2] for r in got}) > 5
 
 
 def test_removal_and_edges(spark):
@@ -59,14 +71,29 @@ def test_removal_and_edges(spark):
     assert len(out) == len(docs)
     assert (1, docs[0][1]) in out and (2, "short") in out and (0, line) in out and (3, None) in out and (4, "") in out and out.count((5, docs[5][1])) == 2
     assert remove_duplicate_lines(spark.createDataFrame([], df.schema)).count() == 0
-    assert duplicate_lines(spark.createDataFrame([], df.schema)).count() == 0
+    assert line_classes(spark.createDataFrame([], df.schema)).count() == 0
+
+
+def test_rows_of_one_id_keep_their_own_lines(spark):
+    """Rows with the same id and different texts lose only what is repeated; columns may have any name."""
+    shared = "a line that all three rows of the document have in them"
+    docs = [(5, f"own line of the first\n{shared}", "x", "y"), (5, f"{shared}\nown line of the second", "x", "y"), (5, shared, "x", "y"), (6, f"{shared}.", "x", "y")]
+    out = remove_duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string, gone string, body string")).collect()
+    texts = [t for r in out for t in r["text"].split("\n") if t]
+    assert sorted(texts) == sorted(["own line of the first", "own line of the second", shared]) and {(r["gone"], r["body"]) for r in out} == {("x", "y")}
+
+
+def test_alike_at_both_ends(spark):
+    """What two lines begin and end with is left out before they are compared; overlaps and whole words must come right."""
+    docs = [(1, "aaaaaaaaaaaaaaaaaaaaaaaaaaaa"), (2, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"), (3, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"), (4, "one  two three four five six seven"), (5, "one two three four five six  seven"), (6, "ne two three four five six seven e")]
+    assert classes(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
 
 
 def test_short_lines_are_exact_nodes(spark, tmp_path):
     docs = [(1, "Les.\n\nAll rights reserved."), (2, " Les. \nLes\n"), (3, "All rights reserved.\nAll rights reserved!")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = [(1, 0, 0, 1, 0, True), (1, 2, 0, 1, 2, True), (2, 0, 0, 1, 0, False), (2, 1, 0, 2, 1, True), (3, 0, 0, 1, 2, False), (3, 1, 0, 3, 1, True)]
-    assert sorted(tuple(r) for r in line_classes(df).drop("n").collect()) == want
+    assert classes(df) == want
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(tuple(r) for r in op3_lines(spark, str(tmp_path)).collect()) == want
     assert dict(remove_duplicate_lines(df).select("doc_id", "text").collect()) == {1: docs[0][1], 2: "Les\n", 3: "All rights reserved!"}

@@ -5,15 +5,22 @@ Each line is split into THRESHOLD + 1 segments of even length; if another line i
 the edits before and after it can have moved it to. So a line is indexed by (its length, segment number, segment) and probes, for every
 length up to THRESHOLD shorter than its own, the substrings of its own at the places that a segment can have moved to. Pairs that meet
 are verified by a bit-parallel edit automaton in a band: one 64-bit word holds, for each number of edits, which of the 2 * THRESHOLD + 1
-diagonals can be reached, and takes one step for each character.
+diagonals can be reached, and takes one step for each character between the parts that both lines begin and end with.
 
 Longer lines have more room: lines of WORDS_AN_EDIT words and more are near also if at most one word in WORDS_AN_EDIT of the shorter one,
 MOST_WORDS at most, has to be replaced, put in or left out. The same segments, places and automaton serve for this, over words in place of
-characters; lines of each number of edits have keys of their own. Words are what spaces part.
+characters; lines of each number of edits have keys of their own. Words are what spaces part. Lines that have four segments of words need
+none of characters: two edits of characters spoil three of them at most, and move the words of the rest by one for each space.
+
+Keys that several lines have are buckets. A bucket is compared inside of one row; one of more than BLOCK lines is cut into blocks and
+compared block pair by block pair, so no row holds more than two blocks. A pair counts at the smallest key that it shares only, and from
+each block pair only sums and one edge for each linked line go on, so no pairs are gathered.
 
 Equal lines are one node, whatever their number; classes are connected components of the links, and the first line of a class by
-(document, place) is kept. Shorter lines are nodes like the others, alike only if they are equal. Blank lines and lines of documents
-without an id are in no class and always kept.
+(document, text's hash, place) is kept. Shorter lines are nodes like the others, alike only if they are equal: two edits would be most of
+them. Blank lines and lines of documents without an id are in no class and always kept. Lines are told apart by 62 bits of a hash. Rows of
+one id with different texts are rows of their own; rows that repeat another whole have its lines and its results. An empty table gives no
+rows; lines of any length are compared whole.
 """
 
 from __future__ import annotations
@@ -27,20 +34,16 @@ THRESHOLD = 2
 LEAST = 24
 WORDS_AN_EDIT = 20
 MOST_WORDS = 3
+#: Lines of one bucket that are compared in one row, against as many others.
+BLOCK = 64
+WHITE = " \t\x0b\f\r"
 
 
 def split_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, line_no from 0, line, h, n): the lines that are not blank; h is a hash of the line."""
-    lines = df.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
-    trimmed = lines.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
-    return trimmed.withColumn("n", F.length("line")).where("n > 0").withColumn("h", F.shiftrightunsigned(F.xxhash64("line"), 2))
-
-
-def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """(start from 0, size) of segment i of a line of this length; the last ones take the remainder."""
-    base = F.floor(length / parts).cast("int")
-    longer = length - base * parts
-    return base * i + F.greatest(longer - (parts - i), F.lit(0)).cast("int"), base + (longer >= parts - i).cast("int")
+    """(doc, body, line_no from 0, line, h): the lines that are not blank; body and h are hashes of the whole text and of the line."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    lines = df.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(whole).alias("body"), F.posexplode(F.split(whole, "\n", -1)).alias("line_no", "line"))
+    return lines.withColumn("line", F.trim("line", F.lit(WHITE))).where("line <> ''").withColumn("h", F.shiftrightunsigned(F.xxhash64("line"), 2))
 
 
 def places(i: int, less: int, tau: int) -> range:
@@ -48,120 +51,151 @@ def places(i: int, less: int, tau: int) -> range:
     return range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1)
 
 
-def keys(line: Column, n: Column, tau: int, words: bool = False) -> tuple[Column, Column]:
-    """Arrays of the hashed index keys and probe keys of a line, which is an array if words are compared."""
-    index, probe = [], []
-
-    def key(n: Column, i: int, start: Column, size: Column) -> Column:
-        return F.xxhash64(F.lit(-tau), n, F.lit(i), F.slice(line, start, size)) if words else F.xxhash64(n, F.lit(i), line.substr(start, size))
-
-    for i in range(tau + 1):
-        start, size = segment(n, i, tau + 1)
-        index.append(key(n, i, start + 1, size))
-        for less in range(tau + 1):
-            start, size = segment(n - less, i, tau + 1)
-            for move in places(i, less, tau):
-                if less or move:  # the line's own index keys meet those of lines as long
-                    probe.append(key(n - less, i, start + 1 + move, size))
-    return F.array(*index), F.array(*probe)
-
-
-def word_keys(words: Column) -> tuple[Column, Column]:
-    """As keys(), over the words of a line; it is in the classes of all numbers of edits that it can share with a line as short or shorter."""
-    n = F.size(words)
-    index, probe = [], []
-    for tau in range(1, MOST_WORDS + 1):
-        within = n >= WORDS_AN_EDIT * tau
-        if tau < MOST_WORDS:
-            within &= n < WORDS_AN_EDIT * (tau + 1) + tau
-        for out, found in zip((index, probe), keys(words, n, tau, True), strict=True):
-            out.append(F.when(within, found).otherwise(F.array().cast("array<bigint>")))
-    return F.concat(*index), F.concat(*probe)
-
+def key_specs(tau: int, words: bool) -> list[tuple[int, ...]]:
+    """(class, parts, segment, less, move, probe) of every key of a line; a line's own index keys meet those of lines as long."""
+    seed = -tau if words else 0
+    index = [(seed, tau + 1, i, 0, 0, 0) for i in range(tau + 1)]
+    return index + [(seed, tau + 1, i, less, move, 1) for i in range(tau + 1) for less in range(tau + 1) for move in places(i, less, tau) if less or move]
 
-def near_words(a: str, b: str) -> str:
-    """SQL: whether few enough words part two lines."""
-    least = f"least(size(split({a}, ' +')), size(split({b}, ' +')))"
-    return " or ".join(f"(least({MOST_WORDS}, {least} div {WORDS_AN_EDIT}) = {tau} and {near_expression(a, b, tau, ' +')})" for tau in range(1, MOST_WORDS + 1))
 
+def line_keys(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
+    """(k, h, probe): index keys and probe keys of lines (h, line, n, ws, nw); ws has one character for each word of a line of many words.
 
-def near_expression(a: str, b: str, tau: int, cut: str = "") -> str:
-    """SQL: whether two strings are within tau edits of the parts that cut, a pattern, makes of them: characters if it is empty. Registers of 2 * tau + 1 bits, one for each number of edits, share a word.
-
-    Bit d of a register stands for place j + d - tau in b after j characters of a. A step keeps the diagonals on which the next
-    characters match, and from the register of one edit less takes the same diagonal (substitution), the one below (a character of a
-    too many) and, from its new value, the one above (a character of b too many).
+    Different words can share a character, which only adds candidates. Keys of all kinds are made by one expression over a list of what
+    to take, so that compiled methods stay small.
+    """
+    def listed(*parts: list[tuple[int, ...]]) -> str:
+        names = ("seed", "parts", "i", "less", "move", "probe")
+        return f"array({', '.join(f"struct({', '.join(f'{x} as {n}' for x, n in zip(spec, names, strict=True))})" for p in parts for spec in p)})"
+
+    chars, by_words = key_specs(tau, False), {t: key_specs(t, True) for t in range(1, MOST_WORDS + 1)}
+    # a line is in the classes of all numbers of word edits that it can share with a line as short or shorter
+    bounds = sorted({0} | {WORDS_AN_EDIT * t for t in by_words} | {WORDS_AN_EDIT * (t + 1) + t for t in by_words if t < MOST_WORDS} | {WORDS_AN_EDIT * MOST_WORDS + tau})
+    choice = "case"
+    for low in reversed(bounds):  # from the top down; the first bound that a line reaches decides
+        parts = [s for t, s in by_words.items() if low >= WORDS_AN_EDIT * t and (t == MOST_WORDS or low < WORDS_AN_EDIT * (t + 1) + t)]
+        if low < WORDS_AN_EDIT * MOST_WORDS + tau or tau >= MOST_WORDS:
+            parts.insert(0, chars)
+        choice += f" when nw >= {low} then {listed(*parts)}"
+    rows = lines.select("h", "line", "n", "ws", "nw", F.explode(F.expr(f"{choice} end")).alias("s")).select("h", "line", "n", "ws", "nw", "s.*")
+    rows = rows.withColumn("len", F.expr("if(seed < 0, nw, n) - less"))
+    base, over = "(len div parts)", "(len - len div parts * parts)"
+    start = f"cast({base} * i + greatest({over} - (parts - i), 0) + move + 1 as int)"
+    size = f"cast({base} + if({over} >= parts - i, 1, 0) as int)"
+    return rows.select(F.expr(f"xxhash64(seed, len, i, substr(if(seed < 0, ws, line), {start}, {size}))").alias("k"), "h", "probe")
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL: body with a name for a value that is taken once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def within(a: str, b: str, tau: int) -> str:
+    """SQL: whether two arrays, neither of them empty, are within tau edits of their elements. Registers of 2 * tau + 1 bits, one for each number of edits, share a word.
+
+    Bit d of a register stands for place j + d - tau in b after j elements of a. A step keeps the diagonals on which the next
+    elements match, and from the register of one edit less takes the same diagonal (substitution), the one below (an element of a
+    too many) and, from its new value, the one above (an element of b too many).
     """
     if tau > 4:
         raise ValueError("registers for more than 4 edits do not fit into a 64-bit word")
-    size = [f"size(split({x}, '{cut}'))" if cut else f"length({x})" for x in (a, b)]
     width = 2 * tau + 1
     gap = width + 1  # a spare bit keeps registers apart
     full = (1 << width) - 1
-    match = " | ".join(f"if(get(c.b, j + {d - tau - 1}) = get(c.a, j - 1), {1 << d}L, 0L)" for d in range(width))
+    match = " | ".join(f"if(get({b}, j + {d - tau - 1}) = get({a}, j - 1), {1 << d}L, 0L)" for d in range(width))
     spread = " | ".join(f"shiftleft(m, {gap * e})" for e in range(tau + 1))
     keep = sum(full << gap * e for e in range(tau + 1))
     step = f"((r & ({spread})) | shiftleft(r, {gap}) | shiftright(shiftleft(r, {gap}), 1)) & {keep}L"
     for e in range(1, tau + 1):
-        step = f"transform(array({step}), x -> x | (shiftleft(x & {full << gap * (e - 1)}L, {gap + 1}) & {full << gap * e}L))[0]"
+        step = let("x", step, f"(x | (shiftleft(x & {full << gap * (e - 1)}L, {gap + 1}) & {full << gap * e}L))")
     first = sum((((1 << (e + 1)) - 1) << tau & full) << gap * e for e in range(tau + 1))
-    ends = " | ".join(f"shiftleft(1L, {gap * e} + {size[1]} - {size[0]} + {tau})" for e in range(tau + 1))
-    chars = f"transform(array(struct(split({a}, '{cut}') as a, split({b}, '{cut}') as b)), c -> aggregate(sequence(1, size(c.a)), {first}L, (r, j) -> transform(array({match}), m -> {step})[0]))[0]"
-    return f"abs({size[0]} - {size[1]}) <= {tau} and ({chars} & ({ends})) <> 0"
+    ends = " | ".join(f"shiftleft(1L, {gap * e} + size({b}) - size({a}) + {tau})" for e in range(tau + 1))
+    return f"(abs(size({a}) - size({b})) <= {tau} and (aggregate(sequence(1, size({a})), {first}L, (r, j) -> if(r = 0L, 0L, {let('m', match, step)})) & ({ends})) <> 0)"
+
+
+def near(x: str, y: str, tau: int = THRESHOLD) -> str:
+    """SQL: whether two lines, structs with line and nw, are near. What they begin and end with alike is left out first; of words, whole ones only."""
+    steps = "array(4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1)"
+    least = "least(length(c.a), length(c.b))"
+    begin = f"aggregate({steps}, 0, (p, s) -> if(p + s <= {least} and substr(c.a, p + 1, s) = substr(c.b, p + 1, s), p + s, p))"
+    end = f"aggregate({steps}, 0, (q, s) -> if(q + s <= {least} - p0 and substr(c.a, length(c.a) - q - s + 1, s) = substr(c.b, length(c.b) - q - s + 1, s), q + s, q))"
+
+    def rest(of: str, p: str, q: str) -> str:
+        return f"substr({of}, {p} + 1, length({of}) - {p} - {q})"
+
+    chars = let("d", f"struct({rest('c.a', 'p0', 'q0')} as a, {rest('c.b', 'p0', 'q0')} as b)", f"if(d.a = '' or d.b = '', length(d.a) + length(d.b) <= {tau}, {let('e', "struct(split(d.a, '') as a, split(d.b, '') as b)", within('e.a', 'e.b', tau))})")
+    # the common start up to its last space, the common end from its first
+    p1 = "if(p0 = 0, 0, p0 - length(substring_index(substr(c.a, 1, p0), ' ', -1)))"
+    q1 = "if(q0 = 0, 0, q0 - length(substring_index(substr(c.a, length(c.a) - q0 + 1, q0), ' ', 1)))"
+    pieces = f"struct(split(trim({rest('c.a', 'w.p', 'w.q')}), ' +') as a, split(trim({rest('c.b', 'w.p', 'w.q')}), ' +') as b)"
+    by_words = " ".join(f"when c.t = {t} then {within('e.a', 'e.b', t)}" for t in range(1, MOST_WORDS + 1))
+    count = "size(filter(e.a, z -> z <> '')) + size(filter(e.b, z -> z <> '')) <= c.t"
+    words = let("w", f"struct({p1} as p, {q1} as q)", let("e", pieces, f"if(get(e.a, 0) = '' or get(e.b, 0) = '', {count}, case {by_words} else false end)"))
+    both = f"((abs(length(c.a) - length(c.b)) <= {tau} and {chars}) or (c.t > 0 and {words}))"
+    return let("c", f"struct({x}.line as a, {y}.line as b, least({MOST_WORDS}, least({x}.nw, {y}.nw) div {WORDS_AN_EDIT}) as t)", let("p0", begin, let("q0", end, both)))
 
 
 def line_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of hashes of different lines of LEAST characters and more that are near; lines as from split_lines().
+    """(h, links, label) of lines (h, line) that are near others, in parts: links add up to the number of different lines that are near
+    h, and the (h, label) connect what is linked. Lines are of LEAST characters and more.
 
-    Keys move once. Those that no other line has go at once, by their smallest and largest line; copies of a line need no care there.
+    Keys move once. Those that no other line has go at once, by their smallest and largest line.
     """
-    lines = lines.where(F.col("n") >= LEAST)
-    def marked(index: Column, probe: Column) -> Column:
-        return F.concat(F.transform(index, lambda k: F.struct(k.alias("k"), F.lit(0).alias("probe"))), F.transform(probe, lambda k: F.struct(k.alias("k"), F.lit(1).alias("probe"))))
-
-    # as the variable of a function, words are split once for each line and not for each key
-    by_words = F.transform(F.array(F.split("line", " +")), lambda words: marked(*word_keys(words)))[0]
-    rows = lines.select("h", F.explode(F.concat(marked(*keys(F.col("line"), F.col("n"), tau)), by_words)).alias("e")).select("e.k", (F.col("h") * 2 + F.col("e.probe")).alias("v")).repartition("k")
-    met = rows.groupBy("k").agg(F.min("v").alias("x"), F.max("v").alias("y"), F.min(F.col("v") % 2).alias("p")).where("p = 0 and shiftright(x, 1) <> shiftright(y, 1)").select("k")
-    both = materialize(rows.join(met.hint("shuffle_hash"), "k").select("k", F.shiftright("v", 1).alias("h"), (F.col("v") % 2).alias("probe")).distinct(), "keys")
-    left, right = both.where("probe = 0").select("k", F.col("h").alias("a")), both.select("k", F.col("h").alias("b"), "probe")
-    pairs = materialize(left.join(right, "k").where("a < b or (a > b and probe = 1)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wanted")
-    texts = materialize(lines.select("h", "line").join(wanted, "h").dropDuplicates(["h"]), "texts")
-    full = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
-    return full.where(F.expr(f"({near_expression('la', 'lb', tau)}) or {near_words('la', 'lb')}")).select("a", "b")
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = lines.where(F.length("line") >= LEAST).select("h", "line").repartition(parts, "h").distinct()
+    most = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    marks = F.array_join(F.transform(F.split("line", " "), lambda w: F.when(w == "", "").otherwise(F.char(F.lit(33) + F.xxhash64(w).bitwiseAND(F.lit(63))))), "")
+    marked = distinct.select("h", "line", F.length("line").alias("n"), F.when(most >= WORDS_AN_EDIT, marks).otherwise("").alias("ws")).withColumn("nw", F.length("ws"))
+    rows = line_keys(marked, tau).select("k", (F.col("h") * 2 + F.col("probe")).alias("v")).repartition(parts, "k")
+    met = rows.groupBy("k").agg(F.min("v").alias("x"), F.max("v").alias("y"), F.min(F.col("v") % 2).alias("p"), F.count(F.lit(1)).alias("size")).where("p = 0 and shiftright(x, 1) <> shiftright(y, 1)").select("k", "size")
+    both = rows.join(met.hint("shuffle_hash"), "k").select("k", F.shiftright("v", 1).alias("h"), (F.col("v") % 2).alias("probe"), "size")
+    own = both.groupBy("h").agg(*[F.sort_array(F.collect_set(F.when(F.col("probe") == p, F.col("k")))).alias(n) for p, n in enumerate(("idx", "prb"))], F.collect_set(F.struct("k", "size")).alias("at"))
+    texts = own.hint("merge").join(distinct, "h")
+    many = F.size(F.filter(F.split("line", " "), lambda w: w != ""))
+    dealt = texts.select("h", "line", many.alias("nw"), "idx", "prb", F.explode("at").alias("e")).select("h", "line", "nw", "idx", "prb", "e.k", F.ceil(F.col("e.size") / BLOCK).cast("int").alias("blocks"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("k", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.struct("h", "own", "line", "nw", "idx", "prb").alias("m"))
+    # little data and much to compute, so it is dealt to many tasks by hand
+    rooms = dealt.repartition(4 * parts, "k", "lo", "hi").groupBy("k", "lo", "hi").agg(F.collect_list("m").alias("m")).where("size(m) > 1")
+    shared = "least(array_min(array_intersect(x.idx, y.idx)), array_min(array_intersect(x.idx, y.prb)), array_min(array_intersect(x.prb, y.idx)))"
+    wanted = let("x", "m[p.i]", let("y", "m[p.j]", f"((lo = hi or x.own <> y.own) and {shared} = k and {near('x', 'y', tau)})"))
+    every = "flatten(transform(sequence(0, size(m) - 2), i -> transform(sequence(i + 1, size(m) - 1), j -> struct(i as i, j as j))))"
+    merged = let("u", "l[p.i]", let("v", "l[p.j]", "if(u = v, l, transform(l, z -> if(z = u or z = v, least(u, v), z)))"))
+    labels = f"aggregate(e, transform(m, x -> x.h), (l, p) -> {merged})"
+    out = let("e", f"filter({every}, p -> {wanted})", f"if(size(e) = 0, null, {let('l', labels, 'transform(sequence(0, size(m) - 1), i -> struct(m[i].h as h, size(filter(e, p -> p.i = i or p.j = i)) as links, l[i] as label))')})")
+    found = rooms.select(F.explode(F.expr(out)).alias("e")).select("e.*")
+    return materialize(found.where("links > 0 or label <> h"), "line-links")
 
 
 def line_classes(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int = THRESHOLD) -> DataFrame:
-    """(doc, line_no, n, n_links, class_doc, class_line, kept) of every line that is not blank; n is its length.
+    """(doc, body, line_no, n_links, class_doc, class_line, kept) of every line that is not blank.
 
-    n_links: other different lines that are near. A class is named by its first line's document and place; only that line is kept. Rows
-    of a repeated document have the same lines and the same results.
+    n_links: other different lines that are near. A class is named by its first line's document and place; only that line is kept.
     """
     lines = split_lines(df, key, text)
-    links = materialize(line_links(lines, tau), "links")
-    joined = components(links).select(F.col("node").alias("h"), F.col("component").alias("class"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
-    nodes = degree.join(joined, "h")
-    placed = lines.select("doc", "line_no", "n", "h").join(nodes, "h", "left").withColumn("class", F.coalesce("class", "h"))
-    placed = materialize(placed.select("doc", "line_no", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), "class"), "placed")
-    first = placed.groupBy("class").agg(F.min(F.struct("doc", "line_no")).alias("first"))
-    out = placed.join(first, "class").select("doc", "line_no", "n", "n_links", F.col("first.doc").alias("class_doc"), F.col("first.line_no").alias("class_line"))
-    return out.withColumn("kept", (F.col("doc") == F.col("class_doc")) & (F.col("line_no") == F.col("class_line")))
-
-
-def duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int = THRESHOLD) -> DataFrame:
-    """The rows of line_classes() whose lines the edit join compares, those of LEAST characters and more."""
-    return line_classes(df, key, text, tau).where(F.col("n") >= LEAST).drop("n")
+    links = line_links(lines.select("h", "line"), tau)
+    joined = components(links.select(F.col("h").alias("a"), F.col("label").alias("b"))).select(F.col("node").alias("h"), F.col("component").alias("class"))
+    placed = materialize(lines.select("doc", "body", "line_no", "h"), "placed")
+    # one row for each different line from here on: its first place, then its class's
+    first = placed.groupBy("h").agg(F.min(F.struct("doc", "body", "line_no")).alias("first"))
+    nodes = materialize(links.groupBy("h").agg(F.sum("links").alias("n_links")).join(joined, "h"), "nodes")
+    of_class = first.join(nodes, "h").groupBy("class").agg(F.min("first").alias("of_class"))
+    linked = nodes.join(of_class, "class").select("h", "n_links", "of_class")
+    known = first.join(linked, "h", "left").select("h", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("of_class", "first").alias("c"))
+    out = placed.join(known, "h").select("doc", "body", "line_no", "n_links", F.col("c.doc").alias("class_doc"), F.col("c.line_no").alias("class_line"), F.col("c.body").alias("class_body"))
+    kept = (F.col("doc") == F.col("class_doc")) & (F.col("body") == F.col("class_body")) & (F.col("line_no") == F.col("class_line"))
+    return out.withColumn("kept", kept).drop("class_body")
 
 
 def remove_duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars", tau: int = THRESHOLD) -> DataFrame:
-    """df without the lines that are not kept; the length column, if there is one, follows the text. All rows stay."""
-    gone = line_classes(df, key, text, tau).where(~F.col("kept")).groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
-    joined = df.join(gone, df[key] == gone["doc"], "left")
-    left = F.array_join(F.filter(F.split(df[text], "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    new = F.when(F.col("gone").isNull(), df[text]).otherwise(left)
-    return joined.select(*[new.alias(c) if c == text else F.length(new).cast(df.schema[c].dataType).alias(c) if c == length else df[c] for c in df.columns])
+    """df without the lines that are not kept; the length column, if there is one, follows the text. All rows stay, as do columns of any name."""
+    gone = line_classes(df, key, text, tau).where(~F.col("kept")).groupBy("doc", "body").agg(F.collect_set("line_no").alias("gone"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
+    joined = rows.join(gone, (rows["row"][key] == gone["doc"]) & (rows["mark"] == gone["body"]), "left")
+    old = F.col("row")[text]
+    left = F.array_join(F.filter(F.split(old, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    new = F.when(F.col("gone").isNull(), old).otherwise(left)
+    return joined.select(*[new.alias(c) if c == text else F.length(new).cast(df.schema[c].dataType).alias(c) if c == length else F.col("row")[c].alias(c) for c in df.columns])
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
