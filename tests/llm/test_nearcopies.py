@@ -1,6 +1,9 @@
+import random
 from itertools import combinations
 
-from tramline.llm.nearcopies import document_frequencies, feature_weights, near_duplicates, op8_nearcopies, similarity, weighted
+import numpy as np
+
+from tramline.llm.nearcopies import BLOCK, document_frequencies, feature_weights, merge_bucket, near_duplicates, op8_nearcopies, similarity, weighted
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +53,51 @@ def test_large_group_of_copies(spark):
     data = [(i, " ".join(words[:60] + [f"x{i}"] + words[60:])) for i in range(200)]
     got = near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert {r["class_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
+
+
+def test_groups_over_blocks(spark):
+    """Copies of one text with edits of their own, so that many are alike through others only; against brute force over all pairs."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(100)]
+    data = []
+    for i in range(3 * BLOCK):
+        own = list(words)
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(100)] = f"x{rng.randrange(10_000)}"
+        data.append((i, " ".join(own)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(df).collect()}
+    want = brute(spark, df)
+    assert all(want[k] == want[c] for k, c in got.items())  # nothing is joined that is not alike
+    assert sum(got[k] == want[k] for k in got) >= 0.99 * len(got)
+
+
+def test_bucket_against_all_pairs():
+    """Mergers inside of one bucket give the components of all its near pairs, whole or in blocks."""
+    rng = np.random.default_rng(3)
+    found = []
+    for _ in range(60):
+        base = rng.integers(4)
+        keep = rng.random(40) > 0.12
+        ids = np.arange(40)[keep].astype(np.uint64) + np.uint64(100 * base)
+        found.append((ids, np.ones(len(ids))))
+    n = len(found)
+    bands = np.arange(n * 2).reshape(n, 2)
+    own = np.arange(n) // 20
+
+    def roots(edges):
+        root = list(range(n))
+        for i, j in edges:
+            a, b = root[i], root[j]
+            root = [a if r == b else r for r in root]
+        return [root.index(r) for r in root]
+
+    every = [(i, j) for i, j in combinations(range(n), 2) if similarity(found[i], found[j]) >= 0.8]
+    ranks = np.arange(n) + 2
+    assert roots(merge_bucket(found, np.arange(n), bands, 1, ranks, own, False, 0.8)) == roots(every)
+    parts = []
+    for lo in range(3):
+        for hi in range(lo, 3):
+            at = np.flatnonzero((own == lo) | (own == hi))
+            parts += [(at[i], at[j]) for i, j in merge_bucket([found[k] for k in at], at, bands[at], 1, ranks[at], own[at], lo != hi, 0.8)]
+    assert roots(parts) == roots(every) and len(every) > 100

@@ -10,9 +10,11 @@ Improved consistent weighted sampling draws HASHES samples (shingle, quantised w
 the same one with a probability of their weighted Jaccard similarity. Samples form BANDS bands of ROWS; documents that share a band are
 candidates. At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8**4)**12 = 0.998, at 0.85 with 0.9999.
 
-Candidates are verified by exact weighted Jaccard similarity. Within a bucket the first document is verified against all others, then
-the next few against those not yet in the same class, and so on until every pair of the bucket was verified or is already connected; so
-classes are those of all candidate links, without emitting all pairs of a group of copies. Equal texts are one node throughout.
+Candidates are verified by exact weighted Jaccard similarity. First each bucket's first document is verified against all its others, one
+pair a member. Buckets whose members are still in different classes are then compared inside of one task, in blocks of BLOCK members
+against each other if they are larger: pairs that are connected already, or that an earlier band has put into one bucket too, are passed
+over, all others are verified, and only one edge for each merger of two classes goes on. So every candidate pair is verified or already
+connected, without emitting the pairs of a group of copies. Equal texts are one node throughout; texts are told apart by 64 bits of a hash.
 """
 
 from __future__ import annotations
@@ -43,6 +45,10 @@ DRAWS = 1 << 16
 CHUNK = 40_000
 #: Shingles of texts that verification holds at a time, besides the newest text's.
 HELD = 500_000
+#: Parts of a bucket that are ranked one by one.
+PARTS = 64
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 128
 #: Entries of each worker's caches; they are emptied when full.
 CACHE = 150_000
 
@@ -228,52 +234,95 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, threshold:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def merge_bucket(found: list[tuple[np.ndarray, np.ndarray]], component: np.ndarray, bands: np.ndarray, band: int, rank: np.ndarray, own: np.ndarray, cross: bool, threshold: float) -> list[tuple[int, int]]:
+    """Places (i, j) of verified pairs that merge the components of a bucket's members; pairs met in an earlier band are passed over.
+
+    found: weighted shingles of each member. cross: only pairs of different blocks are compared.
+    """
+    label, out = np.unique(component, return_inverse=True)[1], []
+    total = np.array([w.sum() for _, w in found])
+    for i in range(len(found)):
+        if rank[i] == 1:
+            continue  # verified against all members before
+        able = label != label[i]
+        able[: i + 1] = False
+        able &= rank != 1
+        if cross:
+            able &= own != own[i]
+        able &= ~(bands[:, :band] == bands[i, :band]).any(1)
+        able &= np.minimum(total, total[i]) >= threshold * np.maximum(total, total[i])  # an upper bound of the similarity
+        while able.any():
+            j = int(np.argmax(able))
+            able[j] = False
+            if similarity(found[i], found[j]) >= threshold:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+                able &= label != label[i]
+    return out
+
+
+def bucket_links(rooms: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b): pairs that connect what the rows of one (band, hash, lo, hi) have alike; rows (node, rank, component, own, bands, text)."""
+    shared = rooms.sparkSession.sparkContext.broadcast(weights)
+
+    def run(group: pa.Table) -> pa.Table:
+        t = group.sort_by("rank").combine_chunks()
+        node, rank, component, own = (t.column(c).to_numpy() for c in ("node", "rank", "component", "own"))
+        pairs: list[tuple[int, int]] = []
+        if (component != component[0]).any():
+            found = [weighted(x, shared.value) for x in t.column("text").to_pylist()]
+            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+            cross = t.column("lo")[0].as_py() != t.column("hi")[0].as_py()
+            pairs = merge_bucket(found, component, bands, t.column("band")[0].as_py(), rank, own, cross, threshold)
+        at = np.array(pairs, int).reshape(-1, 2)
+        return pa.table({"a": pa.array(node[at[:, 0]], pa.int64()), "b": pa.array(node[at[:, 1]], pa.int64())})
+
+    return rooms.groupBy("band", "hash", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, node, class_id, kept) of every row: class_id is the smallest key of the row's class, kept marks that key.
 
     A null text counts as empty; texts without words are alike only if equal. Rows of a class whose keys are all null have a null
-    class_id and are not kept. Repeated rows are kept alike. Other columns are dropped.
+    class_id and are not kept. Repeated rows are kept alike. Other columns are dropped. An empty table gives no rows.
     """
-    spark = df.sparkSession
     body = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts, n = document_frequencies(body)
     weights = feature_weights(counts, n)
     rows = materialize(band_rows(body, weights, key), "bands")
     nodes = rows.groupBy("node").agg(F.min(key).alias("first"), F.first("bands").alias("bands"))
     places = nodes.select("node", "first", F.posexplode("bands").alias("band", "hash"))
-    shared = places.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    by_rank = Window.partitionBy("band", "hash").orderBy("node")
-    members = materialize(places.join(shared, ["band", "hash"]).select("band", "hash", "node", "first", F.row_number().over(by_rank).alias("rank")), "members")
-    wanted = members.select("node", "first").distinct()
+    # ranks are given inside of parts of a bucket, which come after one another, so a very large bucket is not one task
+    part = F.pmod(F.col("node"), F.lit(PARTS)).cast("int")
+    sizes = places.groupBy("band", "hash", part.alias("part")).agg(F.count(F.lit(1)).alias("size"))
+    before = Window.partitionBy("band", "hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("band", "hash")
+    bases = sizes.select("band", "hash", "part", F.sum("size").over(whole).alias("size"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")).where("size > 1")
+    by_node = Window.partitionBy("band", "hash", "part").orderBy("node")
+    members = places.withColumn("part", part).join(bases, ["band", "hash", "part"])
+    members = materialize(members.select("band", "hash", "node", "first", "size", (F.col("base") + F.row_number().over(by_node)).cast("int").alias("rank")), "members")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
     source = body.withColumn("node", F.xxhash64("text"))
     same = (source["node"] == wanted["node"]) & source[key].eqNullSafe(wanted["first"])
-    texts = materialize(source.join(wanted, same).select(source["node"], "text").dropDuplicates(["node"]), "texts")
-
-    links = spark.createDataFrame([], "a long, b long")
-    tried = None
-    state = members.withColumn("component", F.col("node"))
-    lo, hi = 1, 2
-    while True:
-        open_ = state.groupBy("band", "hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "hash")
-        now = materialize(state.join(open_, ["band", "hash"]).where(f"rank >= {lo}"), "open")
-        if now.agg(F.max("rank")).first()[0] in (None, lo):
-            discard(now)
-            break
-        lead = now.where(f"rank < {hi}").select("band", "hash", F.col("node").alias("a"), F.col("rank").alias("ra"), F.col("component").alias("ca"))
-        pairs = lead.join(now, ["band", "hash"]).where("rank > ra and component <> ca").select("a", F.col("node").alias("b")).distinct()
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = materialize(links.unionByName(verified(pairs, texts, weights, threshold)), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        discard(now)
-        joined = components(links)
-        state = members.join(joined, "node", "left").select("band", "hash", "node", "first", "rank", F.coalesce("component", "node").alias("component"))
-        lo, hi = hi, hi + 4 * (hi - lo)
-    if tried is None:
-        out = rows.select(key, "node", F.col("node").alias("class"))
-    else:
-        out = rows.join(joined, "node", "left").select(key, "node", F.coalesce("component", "node").alias("class"))
+    texts = materialize(source.join(wanted, same).select(source["node"], "text", "bands").dropDuplicates(["node"]), "texts")
+
+    lead = members.where("rank = 1").select("band", "hash", F.col("node").alias("a"))
+    pairs = materialize(lead.join(members.where("rank > 1"), ["band", "hash"]).select("a", F.col("node").alias("b")).distinct(), "pairs")
+    links = materialize(verified(pairs, texts, weights, threshold), "links")
+    state = members.join(components(links), "node", "left").select("band", "hash", "node", "size", "rank", F.coalesce("component", "node").alias("component"))
+    state = materialize(state, "state")
+    still = state.groupBy("band", "hash").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band", "hash")
+    open_ = state.join(still, ["band", "hash"])
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = open_.withColumn("own", F.floor((F.col("rank") - 1) / BLOCK).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rooms = dealt.select("band", "hash", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "rank", "component").join(texts, "node")
+    more = materialize(bucket_links(rooms, weights, threshold), "more-links")
+    out = rows.join(components(links.unionByName(more)), "node", "left").select(key, "node", F.coalesce("component", "node").alias("class"))
     least = out.groupBy("class").agg(F.min(key).alias("class_id"))
-    return out.join(least, "class").select(key, "node", "class_id", F.coalesce(F.col(key) == F.col("class_id"), F.lit(False)).alias("kept"))
+    found = materialize(out.join(least, "class").select(key, "node", "class_id", F.coalesce(F.col(key) == F.col("class_id"), F.lit(False)).alias("kept")), "classes")
+    for done in (rows, members, texts, pairs, links, state, more):
+        discard(done)
+    return found
 
 
 def op8_nearcopies(spark: SparkSession, sf_dir: str) -> DataFrame:
