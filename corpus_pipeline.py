@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without a doc_id stay if no row of their class has one.
     """
-    found = materialize(near_duplicates(docs), "classes")
+    found = near_duplicates(docs)
     kept = docs.join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     nameless = found.where("class_id is null").select("node").distinct()
     rest = docs.where("doc_id is null")
