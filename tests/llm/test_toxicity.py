@@ -1,6 +1,9 @@
+import math
+import random
 import zlib
+from itertools import combinations
 
-from tramline.llm.toxicity import Model, features, fit, op2_toxicity, score_documents, train
+from tramline.llm.toxicity import Model, features, fit, held_out, op2_toxicity, score_documents, train
 
 
 def test_held_out_accuracy(spark):
@@ -32,3 +35,33 @@ def test_edges(spark):
     out = score_documents(docs, model).collect()
     assert len(out) == 5 and {r["predicted"] for r in out} == {0}
     assert score_documents(spark.createDataFrame([], docs.schema), model).count() == 0
+
+
+def test_pairs_carry_part_of_the_score(spark):
+    """On held-out labels the model without its factors finds fewer toxic texts; its score is the sum over all pairs, taken one by one."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = train(documents, labels)
+    flat = Model(model.w0, model.index, model.w, model.v * 0)
+    rows = documents.join(labels.where("toxic is not null").where(held_out()), "doc_id").select("text", "toxic").collect()
+    found = [(features(r["text"]), r["toxic"]) for r in rows]
+    hits = lambda m: sum(m.score(x) >= 0.5 for x, y in found if y)
+    assert (model.v != 0).any() and hits(model) > hits(flat)
+    place = {int(b): k for k, b in enumerate(model.index)}
+    for x, _ in found[:200]:
+        held = [place[int(b)] for b in x if int(b) in place]
+        z = model.w0 + sum(model.w[i] for i in held) + sum(float(model.v[i] @ model.v[j]) for i, j in combinations(held, 2))
+        assert abs(model.score(x) - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+
+
+def test_neutral_words_stay_for_their_pairs():
+    """An insult is toxic only beside a group's name that is as common in clean texts; thousands of other words are told apart by chance."""
+    rng, texts, y = random.Random(2), [], []
+    for i in range(900):
+        insult, group = i % 3 == 0, i % 2 == 0
+        texts.append(" ".join([f"q{rng.randrange(20_000)}q" for _ in range(25)] + ["zzqxx"] * insult + ["wwxyy"] * group))
+        y.append(int(insult and group))
+    model = fit([features(t) for t in texts[:700]], y[:700])
+    right = [(model.score(features(t)) >= 0.5) == bool(v) for t, v in zip(texts[700:], y[700:], strict=True)]
+    assert sum(right) >= 0.95 * len(right)

@@ -4,6 +4,12 @@ A text's features are the hashed terms that it holds (presence, not counts, so l
 w0 + sum of w_i + sum over pairs of <v_i, v_j>, so a pair such as an insult with a group mention has a weight of its own beyond those
 of its parts. Training is full-batch and deterministic, with a soft threshold on the w and on the rows of V that keeps terms without
 evidence at zero. It reads at most SAMPLE labelled texts, those with the smallest hashes of doc_id; scoring reads every whole text.
+
+The model has room for 2 * SCREENED terms: those that part the classes most by themselves, and those that part them most among texts
+that hold one of the ANCHORS most toxic terms. So a word that is neutral by itself, such as a group's name, stays for its pairs.
+
+Rows that repeat count as often as they are there, in training too, as do labels of one id that disagree. An empty table of labels gives
+scores near 0, an empty table of documents no rows; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -31,8 +37,9 @@ LEAST_TEXTS = 3
 #: Entries of each worker's cache of terms; it is emptied when full.
 CACHE = 150_000
 
-#: Terms that training goes on with: those that part the classes most, taken one by one.
+#: Terms that training goes on with, by themselves and again in the company of an anchor; a size of the model, not of the data.
 SCREENED = 3000
+ANCHORS = 64
 #: Lengths of the word beginnings that are terms beside the whole word, so that inflected forms share evidence.
 BEGINNINGS = (4, 5, 6, 7)
 
@@ -82,22 +89,33 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 300, thin: float = 0.003, thin_v: float = 0.006, seed: int = 7) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 300, thin: float = 0.003, thin_v: float = 0.0003, seed: int = 7) -> Model:
     """Proximal gradient steps with momentum on the mean log loss, both classes counting alike. One class only: its label is the score."""
     y = np.asarray(labels, float)
     if not len(y) or y.min() == y.max():
         return Model(-30.0 if not len(y) or y[0] == 0 else 30.0, np.zeros(0, np.int32), np.zeros(0), np.zeros((0, FACTORS)))
     n = len(y)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
-    doc = np.repeat(np.arange(n), [len(r) for r in rows])
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     index, col, texts = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    apart = np.abs(np.bincount(col, (weight * (2 * y - 1))[doc], len(index)))  # share of toxic texts with it, less that of others, halved
-    noise = np.sqrt(np.bincount(col, (weight**2)[doc], len(index)))
-    order = np.argsort(-np.where(texts >= LEAST_TEXTS, apart / noise, 0), kind="stable")[:SCREENED]
-    kept = np.zeros(len(index), bool)
-    kept[order] = texts[order] >= LEAST_TEXTS
+    col, kept = col.astype(np.int32), np.zeros(len(index), bool)
+
+    def screen(among: np.ndarray) -> np.ndarray:
+        """Evidence of every term among some texts: how far the classes of those with it are off what all of them have, by its noise."""
+        of = among[doc]
+        d, c, side = doc[of], col[of], weight * (2 * y - 1)
+        side = side - weight * (side[among].sum() / max(weight[among].sum(), 1e-12))
+        apart, noise = np.bincount(c, side[d], len(index)), np.sqrt(np.bincount(c, (weight**2)[d], len(index)))
+        return np.where(np.bincount(c, minlength=len(index)) >= LEAST_TEXTS, apart / np.maximum(noise, 1e-12), 0)
+
+    alone = screen(np.ones(n, bool))
+    anchor = np.zeros(len(index), bool)
+    anchor[np.argsort(-alone, kind="stable")[:ANCHORS]] = True
+    for evidence in (np.abs(alone), np.abs(screen(np.bincount(doc, anchor[col], n) > 0))):
+        order = np.argsort(-np.where(texts >= LEAST_TEXTS, evidence, 0), kind="stable")[:SCREENED]
+        kept[order] = texts[order] >= LEAST_TEXTS
     on, place = kept[col], np.cumsum(kept) - 1
-    doc, col, index = doc[on], place[col[on]], index[kept].astype(np.int32)
+    doc, col, index = doc[on], place[col[on]].astype(np.int32), index[kept].astype(np.int32)
     m = len(index)
     w0, w, v = 0.0, np.zeros(m), np.random.default_rng(seed).normal(0, 0.05, (m, FACTORS))
     both = lambda which, x, size: np.stack([np.bincount(which, x[:, k], size) for k in range(FACTORS)], 1)
@@ -155,12 +173,12 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "toxic": b.column(1), "found": pa.array([features(t) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "toxic": b.column(1), "found": pa.array([features(t).astype("<i4").tobytes() for t in b.column(2).to_pylist()], pa.binary())})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     # bounded by `sample` above; repeated ids in documents are cut to it again
-    rows = texts.select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {kind}, toxic int, found array<int>").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("found")).limit(sample).collect()
-    return fit([np.array(r["found"], np.int32) for r in rows], np.array([r["toxic"] for r in rows]))
+    rows = texts.select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {kind}, toxic int, found binary").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("found")).limit(sample).collect()
+    return fit([np.frombuffer(r["found"], "<i4") for r in rows], np.array([r["toxic"] for r in rows]))
 
 
 def score_documents(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
