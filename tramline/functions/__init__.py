@@ -1 +1 @@
-
+"""Expressions that several plans share, as SQL text."""

@@ -1,7 +1,8 @@
 """Operators as declarative plans: SQL over named inputs, composed lazily into one DataFrame that Catalyst optimises as a whole.
 
-A Plan names its inputs in braces. apply() binds them to DataFrames; as_sql() composes the same plans into one statement of ordinary SQL,
-with common table expressions, for a check by another engine. Expressions keep to what both dialects define alike.
+A Plan names its inputs in braces and its settings in angle brackets. apply() binds inputs to DataFrames; as_sql() composes the same plans
+into one statement of ordinary SQL, with common table expressions, for a check by another engine. Expressions keep to what both dialects
+define alike. Settings are numbers of a config.Settings.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..config import Settings
+
 
 @dataclass(frozen=True)
 class Plan:
@@ -25,21 +28,35 @@ class Plan:
     def inputs(self) -> list[str]:
         return list(dict.fromkeys(re.findall(r"\{(\w+)\}", self.sql)))
 
+    def bound(self, values: dict[str, str]) -> str:
+        return re.sub(r"<([a-z_]+)>", lambda m: values[m[1]], self.sql)
+
+
+LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
 
 def store(df: DataFrame) -> DataFrame:
     """Writes df into the folder that driver and executors share and reads it back: plans stay short and lost executors cost nothing."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tramline-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/plan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # the JVM does not compile methods of more than 8000 bytes; plans with larger ones run faster in parts, outside of whole stages
+    before = spark.conf.get(LIMIT)
+    spark.conf.set(LIMIT, "8000")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(LIMIT, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 #: Plans that several others read. Left in place, their copies would multiply along the chain; each is stored once in a run.
-STORED = frozenset(("dedup_first", "conflict_islands", "nonconflict_sample", "events", "neighbor_roles", "event_rows", "slot_assignment", "psi", "ttc_rows"))
+STORED = frozenset(("dedup_first", "conflict_islands", "nonconflict_sample", "events", "neighbor_roles", "event_rows", "slot_assignment", "ttc_obb_rows", "kinematics_by_pair", "tensor_rows"))
 
 
 class Catalog:
@@ -54,12 +71,13 @@ class Catalog:
         self.plans[name] = Plan(name, sql.strip(), dialect)
         return self.plans[name]
 
-    def apply(self, spark: SparkSession, name: str, memo: dict[str, DataFrame] | None = None, **bound: DataFrame) -> DataFrame:
+    def apply(self, spark: SparkSession, name: str, memo: dict[str, DataFrame] | None = None, settings: Settings | None = None, **bound: DataFrame) -> DataFrame:
         """The plan over the bound DataFrames; what is not bound is made by other plans, each of them once.
 
-        memo: stored plans of earlier calls with the same inputs, which are read again instead of being made again.
+        memo: stored plans of earlier calls with the same inputs and settings, which are read again instead of being made again.
         """
         memo = {} if memo is None else memo
+        values = (settings or Settings()).values()
         if name in bound:
             return bound[name]
         if name not in self.plans:
@@ -73,15 +91,16 @@ class Catalog:
                 p = self.plans.get(of)
                 if p is None:
                     raise KeyError(f"{name} needs an input {of}")
-                df = spark.sql(p.sql, **{i: make(i) for i in p.inputs})
+                df = spark.sql(p.bound(values), **{i: make(i) for i in p.inputs})
                 made[of] = store(df) if of in STORED else df
                 if of in STORED:
                     memo[of] = made[of]
             return made[of]
 
-        return spark.sql(plan.sql, **{i: make(i) for i in plan.inputs})
+        return spark.sql(plan.bound(values), **{i: make(i) for i in plan.inputs})
 
-    def as_sql(self, name: str) -> str:
+    def as_sql(self, name: str, settings: Settings | None = None) -> str:
+        values = (settings or Settings()).values()
         order: list[str] = []
 
         def visit(of: str) -> None:
@@ -94,12 +113,12 @@ class Catalog:
 
         def text(of: str) -> str:
             p = self.plans[of]
-            sql = re.sub(r"\{(\w+)\}", r"\1", p.sql)
+            sql = re.sub(r"\{(\w+)\}", r"\1", p.bound(values))
             for here, there in p.dialect:
                 sql = sql.replace(here, there)
             return sql
 
-        ctes = [f"{n} AS ({text(n)})" for n in order[:-1]]
+        ctes = [f"{n} AS MATERIALIZED ({text(n)})" for n in order[:-1]]
         return (f"WITH {', '.join(ctes)} " if ctes else "") + f"SELECT * FROM ({text(name)}) AS q"
 
 
