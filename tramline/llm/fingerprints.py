@@ -114,7 +114,8 @@ def in_order(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     follows = F.lit(None).cast("int") if not before else F.coalesce(*[F.when(F.col("o") == o, F.lit(r)) for o, r in before.items()]) if len(before) <= 64 else F.element_at(F.from_json(F.lit("{" + ",".join(f'"{o}":{r}' for o, r in before.items()) + "}"), "map<string,int>"), F.col("o").cast("string"))
     places = F.array(F.struct(number.alias("range"), F.lit(True).alias("own")), F.when(F.lit(bool(before)), F.struct(follows.alias("range"), F.lit(False).alias("own"))))
     dealt = keyed.withColumn("at", F.explode(F.filter(places, lambda p: p["range"].isNotNull()))).select("at.range", "at.own", "o", key, text)
-    return dealt.repartition(ranges, "range").sortWithinPartitions("range", F.desc("own"), "o", text)
+    # ranges have different numbers, so none of them shares a task with another, as it would by their hashes
+    return dealt.repartitionByRange(ranges, "range").sortWithinPartitions("range", F.desc("own"), "o", text)
 
 
 def fingerprint_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -113,7 +113,7 @@ def number_sequences(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Ranks are taken within (block of documents, length); blocks come after one another by their counts, a table of bounded size.
     """
-    keyed = pieces.withColumn("block", F.pmod(F.xxhash64(F.col(key), F.shiftright("start", 16)), F.lit(BLOCKS)))
+    keyed = pieces.withColumn("block", F.pmod(F.xxhash64(F.col(key), F.shiftright("start", 16), "ids_crc32"), F.lit(BLOCKS)))
     counts = keyed.groupBy("length", "block").count()
     before = Window.orderBy(F.desc("length"), "block").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
