@@ -43,9 +43,10 @@ add("rebalance_roles", """
 SELECT event_id, scene_id, role FROM (SELECT *, min(n) OVER (PARTITION BY scene_id) AS least FROM (
  SELECT event_id, scene_id, role, count(*) OVER (PARTITION BY scene_id, role) AS n, row_number() OVER (PARTITION BY scene_id, role ORDER BY (event_id * 7919) % 1000003, event_id) AS place
  FROM (SELECT event_id, scene_id, CASE WHEN conflict_target_role = '' THEN 'unknown' ELSE conflict_target_role END AS role FROM {event_labels} WHERE is_conflict = 1) AS l) AS c) AS b WHERE place <= least""")
-add("ego_ref_asof", """
-SELECT event_id, frameNum AS ref_frame, floor(carCenterXm * 1E4 + 0.5E0) / 1E4 AS ref_x, floor(carCenterYm * 1E4 + 0.5E0) / 1E4 AS ref_y, heading AS ref_heading, floor(speed * 1E4 + 0.5E0) / 1E4 AS ref_speed FROM (
+add("ego_ref", """
+SELECT event_id, frameNum AS ref_frame, carCenterXm AS ref_x, carCenterYm AS ref_y, heading AS ref_heading, speed AS ref_speed FROM (
  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY CASE WHEN t_rel <= 0 THEN 0 ELSE 1 END, abs(t_rel), frameNum) AS place FROM {event_rows} WHERE role = 'ego') AS r WHERE place = 1""")
+add("ego_ref_asof", "SELECT event_id, ref_frame, floor(ref_x * 1E4 + 0.5E0) / 1E4 AS ref_x, floor(ref_y * 1E4 + 0.5E0) / 1E4 AS ref_y, ref_heading, floor(ref_speed * 1E4 + 0.5E0) / 1E4 AS ref_speed FROM {ego_ref}")
 #: One car a slot: the conflict's target first, then that of most rows, then the one of the smallest id.
 add("slot_assignment", """
 SELECT event_id, role, slot, carId, n_frames FROM (
@@ -58,7 +59,7 @@ add("agent_mask_bits", "SELECT event_id, CAST(bit_or(CAST(power(2, slot) AS BIGI
 add("tensor_rows", """
 SELECT h.event_id, s.slot, <history> - h.back AS t, h.carCenterXm - r.ref_x AS dx, h.carCenterYm - r.ref_y AS dy, CASE WHEN (((h.heading - r.ref_heading) % 360) + 360) % 360 > 180 THEN (((h.heading - r.ref_heading) % 360) + 360) % 360 - 360 ELSE (((h.heading - r.ref_heading) % 360) + 360) % 360 END AS dh, h.speed
 FROM (SELECT *, dense_rank() OVER (PARTITION BY event_id ORDER BY frameNum DESC) AS back FROM {event_rows} WHERE t_rel <= 0) AS h
-JOIN {slot_assignment} s ON h.event_id = s.event_id AND h.carId = s.carId JOIN {ego_ref_asof} r ON h.event_id = r.event_id WHERE h.back <= <history>""")
+JOIN {slot_assignment} s ON h.event_id = s.event_id AND h.carId = s.carId JOIN {ego_ref} r ON h.event_id = r.event_id WHERE h.back <= <history>""")
 add("tensor_long", """
 SELECT event_id, slot, count(*) AS valid, min(t) AS first_t, max(t) AS last_t, avg(CAST(floor(dx * 1E3 + 0.5E0) AS BIGINT)) / 1E3 AS mean_dx, avg(CAST(floor(dy * 1E3 + 0.5E0) AS BIGINT)) / 1E3 AS mean_dy,
  avg(CAST(floor(dh * 1E3 + 0.5E0) AS BIGINT)) / 1E3 AS mean_dh, avg(CAST(floor(speed * 1E3 + 0.5E0) AS BIGINT)) / 1E3 AS mean_speed, CAST(sum((t + 1) * (CAST(floor(dx * 1E2 + 0.5E0) AS BIGINT) % 9973)) AS BIGINT) AS checksum FROM {tensor_rows} GROUP BY event_id, slot""")

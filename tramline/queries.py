@@ -12,7 +12,7 @@ from .plans.templates import PLANS
 from .sources import tracks  # noqa: F401
 
 #: Plans that only other plans use.
-INNER = ("frames", "tracks", "neighbor_pairs", "kinematics_rows", "ttc_rows", "boxes", "box_pairs", "ttc_obb_rows", "kinematics_by_pair", "safe_frames", "events", "event_members", "event_rows", "tensor_rows", "psi", "coalitions", "scores", "shapley_weights", "agent_risk", "players", "game_values", "slot_logits")
+INNER = ("frames", "tracks", "neighbor_pairs", "kinematics_rows", "ttc_rows", "boxes", "box_pairs", "ttc_obb_rows", "kinematics_by_pair", "safe_frames", "events", "ego_ref", "event_members", "event_rows", "tensor_rows", "psi", "coalitions", "scores", "shapley_weights", "agent_risk", "players", "game_values", "slot_logits")
 
 
 _memos: dict[tuple[str, str], dict[str, DataFrame]] = {}

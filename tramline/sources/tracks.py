@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..plans.templates import PLANS
 
@@ -40,11 +39,3 @@ def require_columns(df: DataFrame, names: tuple[str, ...] = REQUIRED) -> DataFra
     if missing:
         raise ValueError(f"missing required columns: {missing}")
     return df
-
-
-def read_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """Standard track files with a header; a row's scene is its scene_id or else its file's stem."""
-    raw = spark.read.option("header", True).option("inferSchema", True).csv(path, pathGlobFilter="*.csv")
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
-    scene = F.coalesce(F.col("scene_id").cast("string"), stem) if "scene_id" in raw.columns else stem
-    return require_columns(raw.withColumn("scene_id", scene))

@@ -1 +1 @@
-
+"""The conflict stage over a stream."""
