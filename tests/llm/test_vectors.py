@@ -72,3 +72,30 @@ def test_planted_links(spark):
     got = link_vectors(spark.createDataFrame(list(zip(ids, both.tolist(), strict=True)), "vec_id long, embedding array<double>")).collect()
     assert sum(r["n_links"] for r in got) >= 0.99 * links.sum()
     assert all(r["n_links"] <= links[r["vec_id"]] for r in got)
+
+
+def test_equals_sql(spark, tmp_path):
+    """All pairs of a table with planted ones, chains of them, equal vectors and unusable ones, in another engine."""
+    import duckdb
+
+    from tramline.llm.vectors import op7_sql, op7_vectors
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    for i in range(60):
+        v = x[i]
+        for k in range(i % 4):
+            turn = rng.normal(size=48)
+            turn -= turn @ v / (v @ v) * v
+            v = 0.93 * v / np.linalg.norm(v) + np.sqrt(1 - 0.93**2) * turn / np.linalg.norm(turn)
+            rows.append((1000 + 10 * i + k, v.tolist()))
+    rows += [(5000, x[0].tolist()), (5001, None), (5002, [0.0] * 48), (5003, [float("nan")] * 48), (5004, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(db.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({op7_sql()})").fetchall())
+    assert sorted(tuple(r) for r in op7_vectors(spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect()) == want
+    assert sum(r[1] for r in want) > 150

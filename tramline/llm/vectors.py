@@ -231,3 +231,14 @@ def link_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_sql(threshold: float = 0.9) -> str:
+    """DuckDB: all pairs compared, and what each vector reaches by links. For small tables."""
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+ AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= {threshold}),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.c = l.a)
+SELECT r.vec_id, any_value(coalesce(n.n, 0)) AS n_links, min(c) AS component_id, r.vec_id = min(c) AS kept
+FROM r LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) AS n ON r.vec_id = n.a GROUP BY r.vec_id"""
