@@ -188,14 +188,14 @@ def line_classes(df: DataFrame, key: str = "doc_id", text: str = "text", tau: in
 
 
 def remove_duplicate_lines(df: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars", tau: int = THRESHOLD) -> DataFrame:
-    """df without the lines that are not kept; the length column, if there is one, follows the text. All rows stay, as do columns of any name."""
+    """df without the lines that are not kept; the length column, if there is one, follows a text that changes. All rows stay, as do columns of any name."""
     gone = line_classes(df, key, text, tau).where(~F.col("kept")).groupBy("doc", "body").agg(F.collect_set("line_no").alias("gone"))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"))
     joined = rows.join(gone, (rows["row"][key] == gone["doc"]) & (rows["mark"] == gone["body"]), "left")
     old = F.col("row")[text]
     left = F.array_join(F.filter(F.split(old, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
     new = F.when(F.col("gone").isNull(), old).otherwise(left)
-    return joined.select(*[new.alias(c) if c == text else F.length(new).cast(df.schema[c].dataType).alias(c) if c == length else F.col("row")[c].alias(c) for c in df.columns])
+    return joined.select(*[new.alias(c) if c == text else F.when(F.col("gone").isNull(), F.col("row")[c]).otherwise(F.length(left).cast(df.schema[c].dataType)).alias(c) if c == length else F.col("row")[c].alias(c) for c in df.columns])
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
