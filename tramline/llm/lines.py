@@ -25,6 +25,8 @@ rows; lines of any length are compared whole.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +44,13 @@ WHITE = " \t\x0b\f\r"
 def split_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, body, line_no from 0, line, h): the lines that are not blank; body and h are hashes of the whole text and of the line."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    lines = df.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(whole).alias("body"), F.posexplode(F.split(whole, "\n", -1)).alias("line_no", "line"))
-    return lines.withColumn("line", F.trim("line", F.lit(WHITE))).where("line <> ''").withColumn("h", F.shiftrightunsigned(F.xxhash64("line"), 2))
+    # what is taken from a whole text is taken before it is split, so once and not for each line
+    texts = df.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(whole).alias("body"), F.split(whole, "\n", -1).alias("all"))
+    lines = texts.select("doc", "body", F.posexplode("all").alias("line_no", "line"))
+    # most lines have no white space at their ends, and to look for it costs less than to trim
+    ends = reduce(Column.__or__, [F.startswith("line", F.lit(c)) | F.endswith("line", F.lit(c)) for c in WHITE])
+    lines = lines.withColumn("line", F.when(ends, F.trim("line", F.lit(WHITE))).otherwise(F.col("line"))).where("line <> ''")
+    return lines.withColumn("h", F.shiftrightunsigned(F.xxhash64("line"), 2))
 
 
 def places(i: int, less: int, tau: int) -> range:
@@ -59,9 +66,9 @@ def key_specs(tau: int, words: bool) -> list[tuple[int, ...]]:
 
 
 def line_keys(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
-    """(k, h, probe): index keys and probe keys of lines (h, line, n, ws, nw); ws has one character for each word of a line of many words.
+    """(k, h, probe): index keys and probe keys of lines (h, line, n, ws, nw); ws holds the words of a line of many words.
 
-    Different words can share a character, which only adds candidates. Keys of all kinds are made by one expression over a list of what
+    Keys of all kinds are made by one expression over a list of what
     to take, so that compiled methods stay small.
     """
     def listed(*parts: list[tuple[int, ...]]) -> str:
@@ -82,7 +89,7 @@ def line_keys(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     base, over = "(len div parts)", "(len - len div parts * parts)"
     start = f"cast({base} * i + greatest({over} - (parts - i), 0) + move + 1 as int)"
     size = f"cast({base} + if({over} >= parts - i, 1, 0) as int)"
-    return rows.select(F.expr(f"xxhash64(seed, len, i, substr(if(seed < 0, ws, line), {start}, {size}))").alias("k"), "h", "probe")
+    return rows.select(F.expr(f"if(seed < 0, xxhash64(seed, len, i, slice(ws, {start}, {size})), xxhash64(seed, len, i, substr(line, {start}, {size})))").alias("k"), "h", "probe")
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -143,22 +150,26 @@ def line_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     """
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = lines.where(F.length("line") >= LEAST).select("h", "line").repartition(parts, "h").distinct()
-    most = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    marks = F.array_join(F.transform(F.split("line", " "), lambda w: F.when(w == "", "").otherwise(F.char(F.lit(33) + F.xxhash64(w).bitwiseAND(F.lit(63))))), "")
-    marked = distinct.select("h", "line", F.length("line").alias("n"), F.when(most >= WORDS_AN_EDIT, marks).otherwise("").alias("ws")).withColumn("nw", F.length("ws"))
+    # words are parted once, and only in lines that are long enough to have many
+    parted = distinct.select("h", "line", F.length("line").alias("n")).withColumn("all", F.when(F.col("n") >= 2 * WORDS_AN_EDIT - 1, F.split("line", " ")))
+    parted = parted.withColumn("ws", F.when(F.contains("line", F.lit("  ")), F.array_remove("all", "")).otherwise(F.col("all"))).drop("all")
+    many = F.coalesce(F.size("ws"), F.lit(0))
+    marked = parted.withColumn("nw", F.when(many >= WORDS_AN_EDIT, many).otherwise(0))
     rows = line_keys(marked, tau).select("k", (F.col("h") * 2 + F.col("probe")).alias("v")).repartition(parts, "k")
     met = rows.groupBy("k").agg(F.min("v").alias("x"), F.max("v").alias("y"), F.min(F.col("v") % 2).alias("p"), F.count(F.lit(1)).alias("size")).where("p = 0 and shiftright(x, 1) <> shiftright(y, 1)").select("k", "size")
     both = rows.join(met.hint("shuffle_hash"), "k").select("k", F.shiftright("v", 1).alias("h"), (F.col("v") % 2).alias("probe"), "size")
     own = both.groupBy("h").agg(*[F.sort_array(F.collect_set(F.when(F.col("probe") == p, F.col("k")))).alias(n) for p, n in enumerate(("idx", "prb"))], F.collect_set(F.struct("k", "size")).alias("at"))
     texts = own.hint("merge").join(distinct, "h")
-    many = F.size(F.filter(F.split("line", " "), lambda w: w != ""))
-    dealt = texts.select("h", "line", many.alias("nw"), "idx", "prb", F.explode("at").alias("e")).select("h", "line", "nw", "idx", "prb", "e.k", F.ceil(F.col("e.size") / BLOCK).cast("int").alias("blocks"))
+    count = F.size(F.array_remove(F.split("line", " "), ""))
+    dealt = texts.select("h", "line", count.alias("nw"), "idx", "prb", F.explode("at").alias("e")).select("h", "line", "nw", "idx", "prb", "e.k", F.ceil(F.col("e.size") / BLOCK).cast("int").alias("blocks"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("k", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.struct("h", "own", "line", "nw", "idx", "prb").alias("m"))
+    # of a member's keys, a bucket needs those that come before its own
+    below = [F.expr(f"filter({c}, z -> z < k)").alias(c) for c in ("idx", "prb")]
+    dealt = dealt.select("k", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.struct("h", "own", "line", "nw", F.array_contains("idx", F.col("k")).alias("at"), *below).alias("m"))
     # little data and much to compute, so it is dealt to many tasks by hand
     rooms = dealt.repartition(4 * parts, "k", "lo", "hi").groupBy("k", "lo", "hi").agg(F.collect_list("m").alias("m")).where("size(m) > 1")
-    shared = "least(array_min(array_intersect(x.idx, y.idx)), array_min(array_intersect(x.idx, y.prb)), array_min(array_intersect(x.prb, y.idx)))"
-    wanted = let("x", "m[p.i]", let("y", "m[p.j]", f"((lo = hi or x.own <> y.own) and {shared} = k and {near('x', 'y', tau)})"))
+    met_before = "(arrays_overlap(x.idx, y.idx) or arrays_overlap(x.idx, y.prb) or arrays_overlap(x.prb, y.idx))"
+    wanted = let("x", "m[p.i]", let("y", "m[p.j]", f"((lo = hi or x.own <> y.own) and (x.at or y.at) and not {met_before} and {near('x', 'y', tau)})"))
     every = "flatten(transform(sequence(0, size(m) - 2), i -> transform(sequence(i + 1, size(m) - 1), j -> struct(i as i, j as j))))"
     merged = let("u", "l[p.i]", let("v", "l[p.j]", "if(u = v, l, transform(l, z -> if(z = u or z = v, least(u, v), z)))"))
     labels = f"aggregate(e, transform(m, x -> x.h), (l, p) -> {merged})"
