@@ -1,9 +1,12 @@
 import math
 import random
+import tracemalloc
 import zlib
 from itertools import combinations
 
-from tramline.llm.toxicity import Model, features, fit, held_out, op2_toxicity, score_documents, train
+import numpy as np
+
+from tramline.llm.toxicity import BUCKETS, Model, features, fit, held_out, op2_toxicity, score_documents, train
 
 
 def test_held_out_accuracy(spark):
@@ -65,3 +68,15 @@ def test_neutral_words_stay_for_their_pairs():
     model = fit([features(t) for t in texts[:700]], y[:700])
     right = [(model.score(features(t)) >= 0.5) == bool(v) for t, v in zip(texts[700:], y[700:], strict=True)]
     assert sum(right) >= 0.95 * len(right)
+
+
+def test_training_takes_little_memory_beside_its_terms():
+    """The driver holds all terms of the sample at once; what fit() takes beside them is bounded."""
+    draw = np.random.default_rng(1)
+    found = [np.unique(draw.zipf(1.3, 1200) % BUCKETS).astype(np.int32) for _ in range(3000)]
+    labels = (np.arange(3000) % 7 == 0).astype(int)
+    tracemalloc.start()
+    fit(found, labels, rounds=2)
+    most = tracemalloc.get_traced_memory()[1] / sum(map(len, found))
+    tracemalloc.stop()
+    assert most < 36  # bytes a term

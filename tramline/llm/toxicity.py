@@ -40,6 +40,8 @@ CACHE = 150_000
 #: Terms that training goes on with, by themselves and again in the company of an anchor; a size of the model, not of the data.
 SCREENED = 3000
 ANCHORS = 64
+#: Terms of the sample that are counted at once, which bounds what that takes beside them.
+PART = 1 << 18
 #: Lengths of the word beginnings that are terms beside the whole word, so that inflected forms share evidence.
 BEGINNINGS = (4, 5, 6, 7)
 
@@ -97,16 +99,26 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 300, thin: flo
     n = len(y)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
     doc = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    index, col, texts = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    col, kept = col.astype(np.int32), np.zeros(len(index), bool)
+    # numbered by counts and not by a sort, and factors taken one at a time below, as the driver holds all terms of the sample at once
+    every = np.concatenate(rows)
+    texts = np.bincount(every)
+    index, col = np.flatnonzero(texts), (np.cumsum(texts > 0, dtype=np.int32) - 1)[every]
+    texts, kept = texts[index], np.zeros(len(index), bool)
+    del every
 
     def screen(among: np.ndarray) -> np.ndarray:
         """Evidence of every term among some texts: how far the classes of those with it are off what all of them have, by its noise."""
-        of = among[doc]
-        d, c, side = doc[of], col[of], weight * (2 * y - 1)
+        side = weight * (2 * y - 1)
         side = side - weight * (side[among].sum() / max(weight[among].sum(), 1e-12))
-        apart, noise = np.bincount(c, side[d], len(index)), np.sqrt(np.bincount(c, (weight**2)[d], len(index)))
-        return np.where(np.bincount(c, minlength=len(index)) >= LEAST_TEXTS, apart / np.maximum(noise, 1e-12), 0)
+        apart, noise, times = np.zeros((3, len(index)))
+        for at in range(0, len(col), PART):
+            d, c = doc[at : at + PART], col[at : at + PART].astype(np.intp)
+            of = among[d]
+            d, c = d[of], c[of]
+            np.add.at(apart, c, side[d])
+            np.add.at(noise, c, (weight**2)[d])
+            np.add.at(times, c, 1.0)
+        return np.where(times >= LEAST_TEXTS, apart / np.maximum(np.sqrt(noise), 1e-12), 0)
 
     alone = screen(np.ones(n, bool))
     anchor = np.zeros(len(index), bool)
@@ -118,29 +130,27 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 300, thin: flo
     doc, col, index = doc[on], place[col[on]].astype(np.int32), index[kept].astype(np.int32)
     m = len(index)
     w0, w, v = 0.0, np.zeros(m), np.random.default_rng(seed).normal(0, 0.05, (m, FACTORS))
-    both = lambda which, x, size: np.stack([np.bincount(which, x[:, k], size) for k in range(FACTORS)], 1)
+    both = lambda which, x, size: np.stack([np.bincount(which, x(k), size) for k in range(FACTORS)], 1)
     # the loss bends at most as much as this diagonal, as features are not negative; so its inverse is a safe step for each weight
     terms = 1.0 + np.bincount(doc, minlength=n)
     bend = 0.25 * np.bincount(col, (weight * terms)[doc], m)
     step0, step = 1 / (0.25 * (weight * terms).sum()), 1 / bend
     speed = [0.0, np.zeros(m), np.zeros((m, FACTORS))]
     for _ in range(rounds):
-        vc = v[col]
-        s = both(doc, vc, n)
-        z = w0 + np.bincount(doc, w[col], n) + 0.5 * ((s**2).sum(1) - np.bincount(doc, (vc**2).sum(1), n))
+        s = both(doc, lambda k: v[:, k][col], n)
+        z = w0 + np.bincount(doc, w[col], n) + 0.5 * ((s**2).sum(1) - np.bincount(doc, (v**2).sum(1)[col], n))
         r = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         rc = r[doc]
         gw = np.bincount(col, rc, m)
-        gv = (both(col, rc[:, None] * s[doc], m) - v * gw[:, None]) * (step / np.maximum(1, (s**2).sum(1).max()))[:, None]
+        gv = (both(col, lambda k: rc * s[:, k][doc], m) - v * gw[:, None]) * (step / np.maximum(1, (s**2).sum(1).max()))[:, None]
         old = w, v
         speed = [0.9 * speed[0] - step0 * r.sum(), 0.9 * speed[1] - step * gw, 0.9 * speed[2] - gv * np.minimum(1, 0.1 / np.maximum(np.linalg.norm(gv, axis=1, keepdims=True), 1e-12))]
         w0, w, v = w0 + speed[0], w + speed[1], v + speed[2]
         w = np.sign(w) * np.maximum(np.abs(w) - thin * step, 0)
         v = v * np.maximum(1 - thin_v * step[:, None] / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), 0)
         speed[1:] = w - old[0], v - old[1]
-    vc = v[col]
-    s = both(doc, vc, n)
-    z = w0 + np.bincount(doc, w[col], n) + 0.5 * ((s**2).sum(1) - np.bincount(doc, (vc**2).sum(1), n))
+    s = both(doc, lambda k: v[:, k][col], n)
+    z = w0 + np.bincount(doc, w[col], n) + 0.5 * ((s**2).sum(1) - np.bincount(doc, (v**2).sum(1)[col], n))
     w0 -= best_cut(z, y, weight)
     live = (w != 0) | (v != 0).any(1)
     return Model(w0, index[live], w[live], v[live])
