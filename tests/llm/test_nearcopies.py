@@ -3,7 +3,7 @@ from itertools import combinations
 
 import numpy as np
 
-from tramline.llm.nearcopies import BLOCK, document_frequencies, feature_weights, merge_bucket, near_duplicates, op8_nearcopies, similarity, weighted
+from tramline.llm.nearcopies import BANDS, BLOCK, ROWS, Sampler, _mix, document_frequencies, every_shingle, feature_weights, merge_bucket, near_duplicates, op8_nearcopies, shingles, similarity, weighted
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,3 +101,29 @@ def test_bucket_against_all_pairs():
             at = np.flatnonzero((own == lo) | (own == hi))
             parts += [(at[i], at[j]) for i, j in merge_bucket([found[k] for k in at], at, bands[at], 1, ranks[at], own[at], lo != hi, 0.8)]
     assert roots(parts) == roots(every) and len(every) > 100
+
+
+def test_samples_by_the_plain_formula():
+    """Arrays that are used again for all hashes draw what each hash by itself draws; ties take the first shingle of a document."""
+    sampler, rng = Sampler(), np.random.default_rng(5)
+    found, starts = rng.integers(1 << 63, size=400).astype(np.uint64), np.array([0, 1, 50, 399])
+    found[60:70] = found[50:60]
+    ln = np.log(weight := rng.random(400) * 3 + 0.1).astype(np.float32)
+    got, mult = sampler.bands(found, weight, starts), np.uint64(0x9E3779B97F4A7C15)
+    for d, (low, high) in enumerate(zip(starts, [*starts[1:], 400], strict=True)):
+        want = np.zeros(BANDS, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(BANDS * ROWS):
+                at = ((found[low:high] * sampler.odd[k]) >> np.uint64(48)).astype(int)
+                t = np.floor(ln[low:high] * sampler.inv[at] + sampler.beta[at])
+                i = np.argmin(sampler.lnc[at] - sampler.r[at] * (t - sampler.beta[at]))
+                sample = _mix(found[low + i : low + i + 1] + t[i : i + 1].astype(np.int64).astype(np.uint64) * mult)
+                want[k // ROWS] = _mix(want[k // ROWS : k // ROWS + 1] * mult + sample)[0]
+        assert (got[d] == want).all()
+
+
+def test_repeated_shingles_count_once_a_document(spark):
+    text = "one two three four five " * 4
+    assert len(every_shingle(text)) == 16 and len(shingles(text)[0]) == 5
+    counts, rows = document_frequencies(spark.createDataFrame([(text,), (text,), (None,)], "text string"))
+    assert rows == 3 and counts.sum() == 10 and counts.max() == 2

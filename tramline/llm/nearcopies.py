@@ -72,18 +72,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, ascending, and their counts."""
+def every_shingle(text: str | None) -> np.ndarray:
+    """Shingle hashes in the order of the text, repeated ones too."""
     words = _words((text or "").lower())
     if not words:
-        return np.zeros(0, _U), np.zeros(0, np.int64)
+        return np.zeros(0, _U)
     h = np.fromiter(map(_hashes.__getitem__, words), _U, len(words))
     n = max(1, len(h) - WORDS + 1)
     with np.errstate(over="ignore"):
         s = np.full(n, len(words) if len(words) < WORDS else WORDS, _U)
         for k in range(min(WORDS, len(h))):
             s = _mix(s * _U(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(s, return_counts=True)
+    return s
+
+
+def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes, ascending, and their counts."""
+    return np.unique(every_shingle(text), return_counts=True)
 
 
 def feature(found: np.ndarray) -> np.ndarray:
@@ -102,7 +107,7 @@ def document_frequencies(df: DataFrame, text: str = "text") -> tuple[np.ndarray,
         table, rows = np.zeros(FEATURES, np.int32), 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                table[np.unique(feature(shingles(t)[0]))] += 1
+                table[feature(every_shingle(t))] += 1  # an index that repeats counts once
             rows += b.num_rows
         if rows:
             parts = [zlib.compress(table[i * width : (i + 1) * width].tobytes(), 1) for i in range(SLICES)]
@@ -156,18 +161,22 @@ class Sampler:
 
     def bands(self, found: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Band hashes, one row for each document; starts: where each document's shingles begin. No document is empty."""
-        lengths = np.diff([*starts, len(found)])
-        ln = np.log(weight).astype(np.float32)
-        out = np.zeros((len(starts), BANDS), _U)
+        n, ln, out = len(found), np.log(weight).astype(np.float32), np.zeros((len(starts), BANDS), _U)
+        of = np.repeat(np.arange(len(starts)), np.diff([*starts, n]))
+        # one set of arrays for all hashes: to allocate them anew takes longer than the sums
+        u, least, (t, beta, r, a, low) = np.empty(n, _U), np.empty(n, bool), np.empty((5, n), np.float32)
         with np.errstate(over="ignore"):
             for k in range(HASHES):
-                at = ((found * self.odd[k]) >> _U(48)).astype(np.int32)
-                r, beta = self.r[at], self.beta[at]
-                t = np.floor(ln * self.inv[at] + beta)
-                a = self.lnc[at] - r * (t - beta)
-                low = np.minimum.reduceat(a, starts)
-                hit = np.flatnonzero(a == np.repeat(low, lengths))
-                first = hit[np.searchsorted(hit, starts)]
+                np.right_shift(np.multiply(found, self.odd[k], out=u), _U(48), out=u)
+                at = u.view(np.int64)
+                for table, into in ((self.inv, t), (self.beta, beta), (self.r, r), (self.lnc, a)):
+                    np.take(table, at, out=into, mode="clip")
+                np.floor(np.add(np.multiply(ln, t, out=t), beta, out=t), out=t)
+                # a = lnc - r * (t - beta)
+                np.subtract(a, np.multiply(r, np.subtract(t, beta, out=beta), out=r), out=a)
+                np.take(np.minimum.reduceat(a, starts), of, out=low, mode="clip")
+                hit = np.flatnonzero(np.equal(a, low, out=least))
+                first = hit if len(hit) == len(starts) else hit[np.searchsorted(hit, starts)]
                 sample = _mix(found[first] + t[first].astype(np.int64).astype(_U) * _U(0x9E3779B97F4A7C15))
                 out[:, k // ROWS] = _mix(out[:, k // ROWS] * _U(0x9E3779B97F4A7C15) + sample)
         return out
