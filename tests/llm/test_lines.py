@@ -1,7 +1,7 @@
 import random
 from itertools import combinations
 
-from tramline.llm.lines import BLOCK, LEAST, line_classes, op3_lines, remove_duplicate_lines
+from tramline.llm.lines import BLOCK, CODED, LEAST, SHORT, coded, line_classes, may_be_near, near, op3_lines, remove_duplicate_lines
 
 
 def classes(df):
@@ -116,3 +116,35 @@ def test_longer_lines_have_more_room(spark):
     want = {d: sum(t in p for p in pairs) for d, t in docs}
     assert sum(want.values()) > 40
     assert {r["doc"]: r["n_links"] for r in line_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+
+
+def test_letters_of_words_refuse_no_near_pair(spark):
+    """The test by letters passes every near pair and refuses most others; parted and joined words, long lines and odd spaces included."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for n in (5, 12, 25, 45, 70):
+        for _ in range(12):
+            base = [word() for _ in range(n)]
+            a, new = " ".join(base), list(base)
+            for _ in range(rng.randrange(1, 5)):
+                new[rng.randrange(len(new))] = word()
+            rows += [(a, " ".join(new)), (a, mutated(rng, a, 2)), (a, a.replace(" ", "", 2)), (a, a.replace(" ", "  ", 1)), (a, " ".join(word() for _ in base))]
+    df = spark.createDataFrame(rows, "a string, b string")
+    sides = [f"named_struct('line', {c}, 'code', {coded(c)}, 'nw', length({coded(c)}))" for c in "ab"]
+    got = df.selectExpr("a", "b", f"{sides[0]} as x", f"{sides[1]} as y").selectExpr("a", "b", f"{may_be_near('x', 'y')} as may", f"{near('x', 'y')} as near").collect()
+    for r in got:
+        a, b = r["a"].split(), r["b"].split()
+        by_words = edits(a, b) <= min(3, min(len(a), len(b)) // 20)
+        assert r["near"] == (by_words or (abs(len(r["a"]) - len(r["b"])) <= 2 and edits(r["a"], r["b"]) <= 2))
+        assert r["may"] or not r["near"]
+    assert sum(r["near"] for r in got) > 50 and sum(not r["may"] for r in got) > 50
+
+
+def test_edits_far_apart_in_long_lines(spark):
+    """What lies between the edits is longer than the built-in distance is used for, and one line has more words than are coded."""
+    long, many = "ab" * 400, " ".join(f"w{i}" for i in range(CODED + 50))
+    lines = [long, "X" + long[1:-1] + "Y", "X" + long[1:400] + "Z" + long[401:-1] + "Y", many, many.replace("w5 ", "q ").replace("w900 ", "q "), many.replace("w1 ", "q ", 1).replace("w500 ", "q ").replace("w700 ", "q ").replace("w1000 ", "q "), "😀" * 30, "😁" + "😀" * 28 + "😂"]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert [r["n_links"] for r in line_classes(df).orderBy("doc").collect()] == [1, 2, 1, 1, 1, 0, 1, 1]
+    assert (SHORT, CODED) == (256, 1024)

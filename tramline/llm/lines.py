@@ -39,6 +39,11 @@ MOST_WORDS = 3
 #: Lines of one bucket that are compared in one row, against as many others.
 BLOCK = 64
 WHITE = " \t\x0b\f\r"
+#: Letters that stand for words, by a hash, and the most words of a line that are compared by them: that takes time by their square.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+-"
+CODED = 1024
+#: Characters that two lines have between their common ends, up to which the built-in distance is taken; it takes time by their square too.
+SHORT = 256
 
 
 def split_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,7 +135,8 @@ def near(x: str, y: str, tau: int = THRESHOLD) -> str:
     def rest(of: str, p: str, q: str) -> str:
         return f"substr({of}, {p} + 1, length({of}) - {p} - {q})"
 
-    chars = let("d", f"struct({rest('c.a', 'p0', 'q0')} as a, {rest('c.b', 'p0', 'q0')} as b)", f"if(d.a = '' or d.b = '', length(d.a) + length(d.b) <= {tau}, {let('e', "struct(split(d.a, '') as a, split(d.b, '') as b)", within('e.a', 'e.b', tau))})")
+    apart = let("e", "struct(split(d.a, '') as a, split(d.b, '') as b)", within("e.a", "e.b", tau))
+    chars = let("d", f"struct({rest('c.a', 'p0', 'q0')} as a, {rest('c.b', 'p0', 'q0')} as b)", f"if(d.a = '' or d.b = '' or length(d.a) <= {SHORT}, levenshtein(d.a, d.b, {tau}) >= 0, {apart})")
     # the common start up to its last space, the common end from its first
     p1 = "if(p0 = 0, 0, p0 - length(substring_index(substr(c.a, 1, p0), ' ', -1)))"
     q1 = "if(q0 = 0, 0, q0 - length(substring_index(substr(c.a, length(c.a) - q0 + 1, q0), ' ', 1)))"
@@ -138,10 +144,22 @@ def near(x: str, y: str, tau: int = THRESHOLD) -> str:
     by_words = " ".join(f"when c.t = {t} then {within('e.a', 'e.b', t)}" for t in range(1, MOST_WORDS + 1))
     count = "size(filter(e.a, z -> z <> '')) + size(filter(e.b, z -> z <> '')) <= c.t"
     words = let("w", f"struct({p1} as p, {q1} as q)", let("e", pieces, f"if(get(e.a, 0) = '' or get(e.b, 0) = '', {count}, case {by_words} else false end)"))
-    both = f"((abs(length(c.a) - length(c.b)) <= {tau} and {chars}) or (c.t > 0 and {words}))"
+    both = f"((c.t > 0 and {words}) or (abs(length(c.a) - length(c.b)) <= {tau} and {chars}))"
     return let("c", f"struct({x}.line as a, {y}.line as b, least({MOST_WORDS}, least({x}.nw, {y}.nw) div {WORDS_AN_EDIT}) as t)", let("p0", begin, let("q0", end, both)))
 
 
+def coded(line: str) -> str:
+    """SQL: a letter for each word of a line. Letters of two lines are no farther apart than their words."""
+    return f"array_join(transform(array_remove(split({line}, ' '), ''), z -> substr('{LETTERS}', cast(pmod(xxhash64(z), {len(LETTERS)}) as int) + 1, 1)), '')"
+
+
+def may_be_near(x: str, y: str, tau: int = THRESHOLD) -> str:
+    """SQL: false only if two lines, structs with line, nw and code, are not near. An edit of a character changes two words at most, as it may part one or join two."""
+    t = f"least({MOST_WORDS}, least({x}.nw, {y}.nw) div {WORDS_AN_EDIT})"
+    apart = f"if(greatest({x}.nw, {y}.nw) > {CODED}, 0, levenshtein({x}.code, {y}.code, {max(2 * tau, MOST_WORDS)}))"
+    return let("g", apart, f"(g >= 0 and (g <= {t} or abs(length({x}.line) - length({y}.line)) <= {tau}))")
+
+
 def line_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     """(h, links, label) of lines (h, line) that are near others, in parts: links add up to the number of different lines that are near
     h, and the (h, label) connect what is linked. Lines are of LEAST characters and more.
@@ -155,21 +173,21 @@ def line_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     parted = parted.withColumn("ws", F.when(F.contains("line", F.lit("  ")), F.array_remove("all", "")).otherwise(F.col("all"))).drop("all")
     many = F.coalesce(F.size("ws"), F.lit(0))
     marked = parted.withColumn("nw", F.when(many >= WORDS_AN_EDIT, many).otherwise(0))
-    rows = line_keys(marked, tau).select("k", (F.col("h") * 2 + F.col("probe")).alias("v")).repartition(parts, "k")
+    # 48 bits of a key are enough, as lines that meet by chance are compared too; their zeros at a row's end cost nothing when it is compressed
+    rows = line_keys(marked, tau).select((F.col("h") * 2 + F.col("probe")).alias("v"), F.shiftrightunsigned("k", 16).alias("k")).repartition(parts, "k")
     met = rows.groupBy("k").agg(F.min("v").alias("x"), F.max("v").alias("y"), F.min(F.col("v") % 2).alias("p"), F.count(F.lit(1)).alias("size")).where("p = 0 and shiftright(x, 1) <> shiftright(y, 1)").select("k", "size")
     both = rows.join(met.hint("shuffle_hash"), "k").select("k", F.shiftright("v", 1).alias("h"), (F.col("v") % 2).alias("probe"), "size")
     own = both.groupBy("h").agg(*[F.sort_array(F.collect_set(F.when(F.col("probe") == p, F.col("k")))).alias(n) for p, n in enumerate(("idx", "prb"))], F.collect_set(F.struct("k", "size")).alias("at"))
     texts = own.hint("merge").join(distinct, "h")
-    count = F.size(F.array_remove(F.split("line", " "), ""))
-    dealt = texts.select("h", "line", count.alias("nw"), "idx", "prb", F.explode("at").alias("e")).select("h", "line", "nw", "idx", "prb", "e.k", F.ceil(F.col("e.size") / BLOCK).cast("int").alias("blocks"))
+    dealt = texts.select("h", "line", F.expr(coded("line")).alias("code"), "idx", "prb", F.explode("at").alias("e")).select("h", "line", "code", F.length("code").alias("nw"), "idx", "prb", "e.k", F.ceil(F.col("e.size") / BLOCK).cast("int").alias("blocks"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # of a member's keys, a bucket needs those that come before its own
     below = [F.expr(f"filter({c}, z -> z < k)").alias(c) for c in ("idx", "prb")]
-    dealt = dealt.select("k", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.struct("h", "own", "line", "nw", F.array_contains("idx", F.col("k")).alias("at"), *below).alias("m"))
+    dealt = dealt.select("k", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.struct("h", "own", "line", "nw", "code", F.array_contains("idx", F.col("k")).alias("at"), *below).alias("m"))
     # little data and much to compute, so it is dealt to many tasks by hand
     rooms = dealt.repartition(4 * parts, "k", "lo", "hi").groupBy("k", "lo", "hi").agg(F.collect_list("m").alias("m")).where("size(m) > 1")
     met_before = "(arrays_overlap(x.idx, y.idx) or arrays_overlap(x.idx, y.prb) or arrays_overlap(x.prb, y.idx))"
-    wanted = let("x", "m[p.i]", let("y", "m[p.j]", f"((lo = hi or x.own <> y.own) and (x.at or y.at) and not {met_before} and {near('x', 'y', tau)})"))
+    wanted = let("x", "m[p.i]", let("y", "m[p.j]", f"((lo = hi or x.own <> y.own) and (x.at or y.at) and not {met_before} and {may_be_near('x', 'y', tau)} and {near('x', 'y', tau)})"))
     every = "flatten(transform(sequence(0, size(m) - 2), i -> transform(sequence(i + 1, size(m) - 1), j -> struct(i as i, j as j))))"
     merged = let("u", "l[p.i]", let("v", "l[p.j]", "if(u = v, l, transform(l, z -> if(z = u or z = v, least(u, v), z)))"))
     labels = f"aggregate(e, transform(m, x -> x.h), (l, p) -> {merged})"
