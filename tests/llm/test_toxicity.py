@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import tracemalloc
 import zlib
@@ -6,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 
+from tramline.llm import toxicity
 from tramline.llm.toxicity import BUCKETS, Model, features, fit, held_out, op2_toxicity, score_documents, train
 
 
@@ -80,3 +82,20 @@ def test_training_takes_little_memory_beside_its_terms():
     most = tracemalloc.get_traced_memory()[1] / sum(map(len, found))
     tracemalloc.stop()
     assert most < 36  # bytes a term
+
+
+def test_training_is_not_in_the_driver(spark, monkeypatch):
+    """The driver gets the model only; it is the one that fits the same rows here."""
+    texts = [f"{'zzq ' * (i % 3 == 0)}filler{i % 7} text{i % 11}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id long, toxic int")
+    order = [r["doc_id"] for r in labels.where(~held_out()).selectExpr("doc_id", "xxhash64(doc_id) as x").orderBy("x").collect()]
+    want, driver = fit([features(texts[i]) for i in order], np.array([int(i % 3 == 0) for i in order])), os.getpid()
+
+    def in_a_task(found, toxic):
+        assert os.getpid() != driver
+        return fit(found, toxic)
+
+    monkeypatch.setattr(toxicity, "fit", in_a_task)
+    got = train(docs, labels)
+    assert len(got.index) and got.w0 == want.w0 and all((getattr(got, k) == getattr(want, k)).all() for k in ("index", "w", "v"))

@@ -99,7 +99,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 300, thin: flo
     n = len(y)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
     doc = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    # numbered by counts and not by a sort, and factors taken one at a time below, as the driver holds all terms of the sample at once
+    # numbered by counts and not by a sort, and factors taken one at a time below, as all terms of the sample are held at once
     every = np.concatenate(rows)
     texts = np.bincount(every)
     index, col = np.flatnonzero(texts), (np.cumsum(texts > 0, dtype=np.int32) - 1)[every]
@@ -185,10 +185,24 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
         for b in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "toxic": b.column(1), "found": pa.array([features(t).astype("<i4").tobytes() for t in b.column(2).to_pylist()], pa.binary())})
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, toxic = [], []
+        for b in batches:
+            found += [np.frombuffer(x.as_py(), "<i4") for x in b.column("found")]
+            toxic += b.column("toxic").to_pylist()
+        if found:
+            got = fit(found, np.array(toxic))
+            parts = {"index": got.index.astype("<i4"), "w": got.w.astype("<f8"), "v": got.v.astype("<f8")}
+            yield pa.RecordBatch.from_pydict({"w0": pa.array([got.w0], pa.float64())} | {k: pa.array([x.tobytes()], pa.binary()) for k, x in parts.items()})
+
     kind = documents.schema["doc_id"].dataType.simpleString()
     # bounded by `sample` above; repeated ids in documents are cut to it again
-    rows = texts.select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {kind}, toxic int, found binary").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("found")).limit(sample).collect()
-    return fit([np.frombuffer(r["found"], "<i4") for r in rows], np.array([r["toxic"] for r in rows]))
+    rows = texts.select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {kind}, toxic int, found binary").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("found")).limit(sample)
+    # a limit has one task; it fits the model there, as the driver should hold neither the sample nor what fitting takes beside it
+    got = rows.mapInArrow(learn, "w0 double, index binary, w binary, v binary").first()
+    if got is None:
+        return fit([], np.zeros(0))
+    return Model(got["w0"], np.frombuffer(got["index"], "<i4"), np.frombuffer(got["w"], "<f8"), np.frombuffer(got["v"], "<f8").reshape(-1, FACTORS))
 
 
 def score_documents(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
