@@ -12,6 +12,9 @@ MOST_WORDS at most, has to be replaced, put in or left out. The same segments, p
 characters; lines of each number of edits have keys of their own. Words are what spaces part. Lines that have four segments of words need
 none of characters: two edits of characters spoil three of them at most, and move the words of the rest by one for each space.
 
+Most lines are near no other, so these keys are made only for lines that share a coarse key with another. Coarse keys are few: their parts follow
+the length in steps of STEP, and lines that are near have at least one in common.
+
 Keys that several lines have are buckets. A bucket is compared inside of one row; one of more than BLOCK lines is cut into blocks and
 compared block pair by block pair, so no row holds more than two blocks. A pair counts at the smallest key that it shares only, and from
 each block pair only sums and one edge for each linked line go on, so no pairs are gathered.
@@ -30,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, table
+from .common import components, discard, materialize, table
 
 THRESHOLD = 2
 LEAST = 24
@@ -38,6 +41,8 @@ WORDS_AN_EDIT = 20
 MOST_WORDS = 3
 #: Lines of one bucket that are compared in one row, against as many others.
 BLOCK = 64
+#: Lengths, in characters or words, whose coarse keys are cut alike.
+STEP = 8
 WHITE = " \t\x0b\f\r"
 #: Letters that stand for words, by a hash, and the most words of a line that are compared by them: that takes time by their square.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+-"
@@ -70,16 +75,50 @@ def key_specs(tau: int, words: bool) -> list[tuple[int, ...]]:
     return index + [(seed, tau + 1, i, less, move, 1) for i in range(tau + 1) for less in range(tau + 1) for move in places(i, less, tau) if less or move]
 
 
+def listed(names: str, specs: list[tuple[int, ...]]) -> str:
+    """SQL: an array of structs."""
+    return f"array({', '.join(f"struct({', '.join(f'{x} as {n}' for x, n in zip(spec, names.split(), strict=True))})" for spec in specs)})"
+
+
+def coarse_keys(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
+    """(k, h): keys of lines (h, line, n, ws, nw), of which two lines that are near have at least one in common, for tau up to 2.
+
+    The parts for a pair are cut for the step of the shorter line's length, so a line has keys for its own step and, if a shorter line of a pair can
+    be in it, the step before. Two parts are the line's start and end. If both differ, each has had an edit, and of two edits none is left: what is
+    between is whole and has moved by one place at most, so of its parts at two neighbouring places one is also in the other line.
+    Lines of WORDS_AN_EDIT words and more are cut by words. An edit of a character changes one word, or parts or joins two: a word left out between two parts
+    keeps it from spoiling both. Three edits of words can leave one for the middle, which has two parts then, one placed from the start, one from the
+    end: one of them has no edit in it, nor on its side but the one that spoiled the start or the end.
+    """
+    most, low = max(tau, MOST_WORDS), WORDS_AN_EDIT
+
+    def specs(by_words: int, long: int, back: int) -> list[tuple[int, ...]]:
+        parts = [(0, 0), (1, 0), *[(part, shift) for part in (2, 3)[: 1 + long] for shift in (0, 1)]]
+        return [(by_words, long, back, *p) for p in parts]
+
+    def listing(*kinds: tuple[int, int, int]) -> str:
+        return listed("by_words long back part shift", [s for kind in kinds for s in specs(*kind)])
+
+    # a step that has lines of three edits is long
+    first_long = next(b for b in range(low, low * MOST_WORDS + 1, STEP) if b + STEP > low * MOST_WORDS)
+    chars = f"if(n >= {LEAST + STEP} and (n - {LEAST}) % {STEP} < {tau}, {listing((0, 0, 0), (0, 0, tau))}, {listing((0, 0, 0))})"
+    two = f"nw >= {low + STEP} and (nw - {low}) % {STEP} < {most}"
+    by_words = f"if({two}, case when nw < {first_long} then {listing((1, 0, 0), (1, 0, most))} when nw < {first_long + STEP} then {listing((1, 1, 0), (1, 0, most))} else {listing((1, 1, 0), (1, 1, most))} end, if(nw < {first_long}, {listing((1, 0, 0))}, {listing((1, 1, 0))}))"
+    # lines of a few words more than WORDS_AN_EDIT can be near shorter ones, by characters
+    choice = f"case when nw < {low} then {chars} when nw < {low + tau} then {listing((0, 0, 0), (0, 0, tau), (1, 0, 0))} else {by_words} end"
+    rows = lines.select("h", "line", "n", "ws", "nw", F.explode(F.expr(choice)).alias("s")).select("h", "line", "ws", "s.*", F.expr("if(s.by_words = 1, nw, n)").alias("len"))
+    rows = rows.withColumn("b", F.expr(f"cast(if(by_words = 1, {low} + (len - back - {low}) div {STEP} * {STEP}, {LEAST} + (len - back - {LEAST}) div {STEP} * {STEP}) as int)"))
+    rows = rows.withColumn("a", F.expr("cast(if(long = 1, (b - 5) div 4, (b - 2 * by_words) div 3) as int)")).withColumn("m", F.expr("if(long = 1, a, b - 2 * a - 1 - 2 * by_words)"))
+    start, size = "case part when 0 then 1 when 1 then len - a + 1 when 2 then a + 1 + by_words + shift else len - a - m - shift end", "if(part < 2, a, m)"
+    return rows.select(F.expr(f"shiftrightunsigned(if(by_words = 1, xxhash64(1, b, part, slice(ws, {start}, {size})), xxhash64(0, b, part, substr(line, {start}, {size}))), 16)").alias("k"), "h")
+
+
 def line_keys(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     """(k, h, probe): index keys and probe keys of lines (h, line, n, ws, nw); ws holds the words of a line of many words.
 
     Keys of all kinds are made by one expression over a list of what
     to take, so that compiled methods stay small.
     """
-    def listed(*parts: list[tuple[int, ...]]) -> str:
-        names = ("seed", "parts", "i", "less", "move", "probe")
-        return f"array({', '.join(f"struct({', '.join(f'{x} as {n}' for x, n in zip(spec, names, strict=True))})" for p in parts for spec in p)})"
-
     chars, by_words = key_specs(tau, False), {t: key_specs(t, True) for t in range(1, MOST_WORDS + 1)}
     # a line is in the classes of all numbers of word edits that it can share with a line as short or shorter
     bounds = sorted({0} | {WORDS_AN_EDIT * t for t in by_words} | {WORDS_AN_EDIT * (t + 1) + t for t in by_words if t < MOST_WORDS} | {WORDS_AN_EDIT * MOST_WORDS + tau})
@@ -88,7 +127,7 @@ def line_keys(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
         parts = [s for t, s in by_words.items() if low >= WORDS_AN_EDIT * t and (t == MOST_WORDS or low < WORDS_AN_EDIT * (t + 1) + t)]
         if low < WORDS_AN_EDIT * MOST_WORDS + tau or tau >= MOST_WORDS:
             parts.insert(0, chars)
-        choice += f" when nw >= {low} then {listed(*parts)}"
+        choice += f" when nw >= {low} then {listed("seed parts i less move probe", [s for p in parts for s in p])}"
     rows = lines.select("h", "line", "n", "ws", "nw", F.explode(F.expr(f"{choice} end")).alias("s")).select("h", "line", "n", "ws", "nw", "s.*")
     rows = rows.withColumn("len", F.expr("if(seed < 0, nw, n) - less"))
     base, over = "(len div parts)", "(len - len div parts * parts)"
@@ -160,6 +199,15 @@ def may_be_near(x: str, y: str, tau: int = THRESHOLD) -> str:
     return let("g", apart, f"(g >= 0 and (g <= {t} or abs(length({x}.line) - length({y}.line)) <= {tau}))")
 
 
+def parted(lines: DataFrame) -> DataFrame:
+    """(h, line, n, ws, nw) of lines (h, line): n is the length; ws, the words, and nw, their number, are for lines of many words, else nw is 0."""
+    # words are parted once, and only in lines that are long enough to have many
+    parts = lines.select("h", "line", F.length("line").alias("n")).withColumn("all", F.when(F.col("n") >= 2 * WORDS_AN_EDIT - 1, F.split("line", " ")))
+    parts = parts.withColumn("ws", F.when(F.contains("line", F.lit("  ")), F.array_remove("all", "")).otherwise(F.col("all"))).drop("all")
+    many = F.coalesce(F.size("ws"), F.lit(0))
+    return parts.withColumn("nw", F.when(many >= WORDS_AN_EDIT, many).otherwise(0))
+
+
 def line_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     """(h, links, label) of lines (h, line) that are near others, in parts: links add up to the number of different lines that are near
     h, and the (h, label) connect what is linked. Lines are of LEAST characters and more.
@@ -167,12 +215,17 @@ def line_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     Keys move once. Those that no other line has go at once, by their smallest and largest line.
     """
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = lines.where(F.length("line") >= LEAST).select("h", "line").repartition(parts, "h").distinct()
-    # words are parted once, and only in lines that are long enough to have many
-    parted = distinct.select("h", "line", F.length("line").alias("n")).withColumn("all", F.when(F.col("n") >= 2 * WORDS_AN_EDIT - 1, F.split("line", " ")))
-    parted = parted.withColumn("ws", F.when(F.contains("line", F.lit("  ")), F.array_remove("all", "")).otherwise(F.col("all"))).drop("all")
-    many = F.coalesce(F.size("ws"), F.lit(0))
-    marked = parted.withColumn("nw", F.when(many >= WORDS_AN_EDIT, many).otherwise(0))
+    distinct = lines.where(F.length("line") >= LEAST).select("h", "line").repartition(parts, "h")
+    if tau <= 2:
+        coarse = coarse_keys(parted(distinct.distinct()), tau).repartition(parts, "k")
+        met = coarse.groupBy("k").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("k")
+        some = coarse.join(met.hint("shuffle_hash"), "k").select("h").distinct()
+        # not a semi-join, which would go below the repartition, so that lines would move twice
+        distinct = distinct.join(some.hint("shuffle_hash"), "h")
+    stored = materialize(distinct.distinct(), "lines")
+    # a column that may be null gets a filter in one of two uses of the keys, so that keys would be made twice
+    distinct = stored.select(F.coalesce("h", F.lit(0)).alias("h"), "line")
+    marked = parted(distinct)
     # 48 bits of a key are enough, as lines that meet by chance are compared too; their zeros at a row's end cost nothing when it is compressed
     rows = line_keys(marked, tau).select((F.col("h") * 2 + F.col("probe")).alias("v"), F.shiftrightunsigned("k", 16).alias("k")).repartition(parts, "k")
     met = rows.groupBy("k").agg(F.min("v").alias("x"), F.max("v").alias("y"), F.min(F.col("v") % 2).alias("p"), F.count(F.lit(1)).alias("size")).where("p = 0 and shiftright(x, 1) <> shiftright(y, 1)").select("k", "size")
@@ -193,7 +246,9 @@ def line_links(lines: DataFrame, tau: int = THRESHOLD) -> DataFrame:
     labels = f"aggregate(e, transform(m, x -> x.h), (l, p) -> {merged})"
     out = let("e", f"filter({every}, p -> {wanted})", f"if(size(e) = 0, null, {let('l', labels, 'transform(sequence(0, size(m) - 1), i -> struct(m[i].h as h, size(filter(e, p -> p.i = i or p.j = i)) as links, l[i] as label))')})")
     found = rooms.select(F.explode(F.expr(out)).alias("e")).select("e.*")
-    return materialize(found.where("links > 0 or label <> h"), "line-links")
+    links = materialize(found.where("links > 0 or label <> h"), "line-links")
+    discard(stored)
+    return links
 
 
 def line_classes(df: DataFrame, key: str = "doc_id", text: str = "text", tau: int = THRESHOLD) -> DataFrame:
